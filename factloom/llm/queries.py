@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import encode, knn
+from factloom.llm import canonical, encode, knn
 from factloom.scratch import Scratch
 from factloom.session import table
 
@@ -29,6 +29,11 @@ def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("q").cast("bigint").alias("query_id"), F.col("v").cast("bigint").alias("vec_id"), "sim")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog entry that every entity's name or aliases denote."""
+    return canonical.map_to_list(table(spark, sf_dir, "entity"), table(spark, sf_dir, "entity_catalog"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document under the public vocabulary byte_bpe_50k."""
     import public_tokenizers as public
@@ -36,6 +41,6 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
-QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p6_ids": p6_ids}
 
 ORACLE: dict[str, str] = {}
