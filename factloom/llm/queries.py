@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import canonical, encode, knn
+from factloom.llm import canonical, encode, knn, leak
 from factloom.scratch import Scratch
 from factloom.session import table
 
@@ -41,6 +41,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
-QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry twelve or more consecutive words of a held-out item."""
+    return leak.leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 ORACLE: dict[str, str] = {}
