@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,16 +49,15 @@ def hierarchy(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
     roots = start.select(F.col("parent").alias("id")).distinct().join(start.select("id"), "id", "left_anti")
     live = scratch.save(
         start.unionByName(roots.withColumn("parent", F.lit(None).cast("string"))).select(
-            "id", "parent", F.lit(1).alias("len"), F.lit(0).cast("bigint").alias("hid"), F.lit("").alias("seg"), F.lit(0).cast("bigint").alias("acc")
+            "id", "parent", F.lit(1).alias("len"), F.lit(0).cast("bigint").alias("hid"), F.lit("").alias("seg"), F.lit(0).cast("bigint").alias("acc"), F.lit(0).alias("turn")
         ),
         "live",
     )
     rounds: list[DataFrame] = []
-    for number in range(max_rounds):
-        done = _contract(live, number)
-        out = scratch.save(done, "round")
+    for _ in range(max_rounds):
+        out = scratch.save(_contract(live), "round")
         rounds.append(out)
-        live = out.where(F.col("tag") == "live").selectExpr("id", "parent", "len", "hid", "seg", "acc")
+        live = out.where(F.col("tag") == "live").selectExpr("id", "parent", "len", "hid", "seg", "acc", "turn + 1 AS turn")
         if live.isEmpty():
             break
     else:
@@ -68,8 +65,8 @@ def hierarchy(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
 
     solved: list[DataFrame] = []
     for out in reversed(rounds):
-        solved.append(scratch.save(_expand(out.where("tag <> 'live'"), reduce(DataFrame.unionByName, solved) if solved else None), "solved"))
-    nodes = reduce(DataFrame.unionByName, solved)
+        solved.append(scratch.save(_expand(out.where("tag <> 'live'"), scratch.together(solved) if solved else None), "solved"))
+    nodes = scratch.together(solved)
     loops = nodes.where("status = 'loop'").groupBy(F.col("root").alias("loop")).agg(F.min("id").alias("first"))
     named = nodes.join(loops, (F.col("root") == F.col("loop")) & (F.col("status") != "tree"), "left")
     tree = F.col("status") == "tree"
@@ -82,9 +79,12 @@ def hierarchy(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
     )
 
 
-def _contract(live: DataFrame, number: int) -> DataFrame:
-    """One round: the nodes that stay (``live``) and the records of those that went (``root, core, raked, spliced``)."""
-    order = lambda c: F.xxhash64(c, F.lit(number))
+def _contract(live: DataFrame) -> DataFrame:
+    """One round: the nodes that stay (``live``) and the records of those that went (``root, core, raked, spliced``).
+
+    The round's number is data, not a literal, so that every round runs the same compiled plan.
+    """
+    order = lambda c: F.xxhash64(c, "turn")
     kids = live.where("parent is not null").groupBy(F.col("parent").alias("p")).agg(F.count("*").alias("n"), F.min("id").alias("only"))
     seen = live.join(kids, live["id"] == kids["p"], "left").drop("p")
     turns = (
@@ -99,7 +99,7 @@ def _contract(live: DataFrame, number: int) -> DataFrame:
     joined = seen.join(gone, seen["id"] == gone["c"], "left").withColumn("moved", F.col("mid").isNotNull())
     # What an edge hides below a spliced node is needed again on the way back, so it is kept before the edge is renewed.
     joined = joined.withColumn("own_hid", F.col("hid")).select(
-        "id", "n", "only", "acc", "spliced", "moved", "own_hid",
+        "id", "n", "only", "acc", "turn", "spliced", "moved", "own_hid",
         F.when(F.col("moved"), F.col("up")).otherwise(F.col("parent")).alias("parent"),
         F.when(F.col("moved"), F.col("len") + F.col("up_len")).otherwise(F.col("len")).alias("len"),
         F.when(F.col("moved"), F.col("hid") + F.col("up_hid")).otherwise(F.col("hid")).alias("hid"),
@@ -123,7 +123,7 @@ def _contract(live: DataFrame, number: int) -> DataFrame:
         .join(between, F.when(F.col("spliced"), F.col("only")) == F.col("b"), "left")
         .select(
             "tag", "id", "parent", F.when(F.col("spliced"), F.col("only")).alias("child"), "len", "hid", "seg",
-            (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc"), "between",
+            (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc"), "between", "turn",
         )
     )
 

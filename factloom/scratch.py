@@ -45,6 +45,10 @@ class Scratch:
         out._factloom_path = path
         return out
 
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """Tables of one schema as a single scan, where a union would add a branch to the plan for each."""
+        return self.spark.read.schema(tables[0].schema).parquet(*(t._factloom_path for t in tables))
+
     def drop(self, df: DataFrame | None) -> None:
         """Remove a table that no later plan reads."""
         path = getattr(df, "_factloom_path", None)
