@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import canonical, encode, knn, leak
+from factloom.llm import canonical, encode, knn, language, leak
 from factloom.scratch import Scratch
 from factloom.session import table
 
@@ -46,6 +46,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of documents whose label is missing or wrong or that mix languages."""
+    return language.wrong_labels(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 ORACLE: dict[str, str] = {}
