@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import problems
+from factloom.plans import problems, q_facts
 
-MODULES = [problems]
+MODULES = [problems, q_facts]
 
 
 def queries() -> dict:
