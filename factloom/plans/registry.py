@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import problems, q_facts
+from factloom.plans import problems, q_facts, q_temporal, q_text
 
-MODULES = [problems, q_facts]
+MODULES = [problems, q_facts, q_temporal, q_text]
 
 
 def queries() -> dict:
