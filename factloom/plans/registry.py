@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import problems, q_facts, q_temporal, q_text
+from factloom.plans import problems, q_eval, q_facts, q_temporal, q_text
 
-MODULES = [problems, q_facts, q_temporal, q_text]
+MODULES = [problems, q_facts, q_temporal, q_text, q_eval]
 
 
 def queries() -> dict:
