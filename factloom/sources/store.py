@@ -1,0 +1,56 @@
+"""Versioned parquet tables as a store: a write makes the next version, readers see the version named last."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class Store:
+    """Tables under one root. Each version is a folder; ``_CURRENT`` is written last, so a failed write is never seen."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _path(self, *parts: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return where, where.getFileSystem(self._conf)
+
+    def version(self, table: str) -> int | None:
+        """The current version of a table, or None before the first write."""
+        where, fs = self._path(table, "_CURRENT")
+        if not fs.exists(where):
+            return None
+        return json.loads(self.spark.read.text(where.toString()).first()[0])["v"]
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """A table now or as it was in an earlier version."""
+        at = self.version(table) if version is None else version
+        if at is None:
+            raise FileNotFoundError(f"{self.root}/{table} has no version")
+        return self.spark.read.parquet(f"{self.root}/{table}/v={at}")
+
+    def write(self, table: str, df: DataFrame) -> int:
+        number = (self.version(table) or 0) + 1
+        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={number}")
+        where, fs = self._path(table, "_CURRENT.tmp")
+        out = fs.create(where, True)
+        out.write(bytearray(json.dumps({"v": number}).encode()))
+        out.close()
+        target, _ = self._path(table, "_CURRENT")
+        if fs.exists(target):
+            fs.delete(target, False)
+        fs.rename(where, target)
+        return number
+
+    def upsert(self, table: str, rows: DataFrame, keys: list[str]) -> int:
+        """Replace rows by key, add new ones. Of incoming rows with one key any complete row counts once (the largest)."""
+        others = [c for c in rows.columns if c not in keys]
+        once = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("m")).select(*keys, "m.*")
+        if self.version(table) is None:
+            return self.write(table, once)
+        kept = self.read(table).join(once.select(*keys), keys, "left_anti")
+        return self.write(table, kept.unionByName(once, allowMissingColumns=True))
