@@ -37,7 +37,7 @@ def _field(header: Column, *names: str) -> Column:
 
 def read_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Markdown pages with front matter; anchors are the slugs of their headings. A page without an id is named by its file."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", _stem().alias("stem"))
+    raw = spark.read.text(path, wholetext=True).select("value", _stem().alias("stem"))
     header, body = split_front_matter(F.col("value"))
     rows = raw.select("value", "stem", header.alias("h"), body.alias("text"))
     h = F.col("h")
@@ -60,7 +60,7 @@ def thread_text(title: Column, label: str, lead: Column, comments: Column) -> Co
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per file; version and time are ``updated``."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", _stem().alias("stem"))
+    raw = spark.read.text(path, wholetext=True).select("value", _stem().alias("stem"))
     t = raw.select("value", "stem", F.from_json("value", TICKET).alias("t")).select("value", "stem", "t.*")
     title = F.concat(
         "key", F.lit(": "), F.coalesce("summary", F.lit("")), F.lit(" (status "), F.coalesce("status", F.lit("None")), F.lit(", type "), F.coalesce("type", F.lit("None")),
@@ -76,7 +76,7 @@ def read_tickets(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pulls(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per file; the time is the latest of opened, closed and the comments."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", _stem().alias("stem"))
+    raw = spark.read.text(path, wholetext=True).select("value", _stem().alias("stem"))
     t = raw.select("value", "stem", F.from_json("value", PULL).alias("t")).select("value", "stem", "t.*")
     comments = F.coalesce("comments", F.array())
     latest = F.array_max(F.concat(F.array(_instant(F.col("closed")), _instant(F.col("opened"))), F.transform(comments, lambda c: F.try_to_timestamp(c["created"]))))

@@ -55,7 +55,7 @@ def read_junit(spark: SparkSession, path: str, commit: str | None = None) -> Dat
 
 def read_playwright_json(spark: SparkSession, path: str, depth: int = 8) -> DataFrame:
     """Nested suites unrolled level by level to ``depth``; the last result of a test counts; titles joined by ' › ', the project before them."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"), *_run())
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"), *_run())
     meta = raw.select("run_id", "attempt", F.expr("variant_get(v, '$.suites', 'array<variant>')").alias("suites"))
     level = meta.select("run_id", "attempt", F.explode_outer("suites").alias("s"), F.array().cast("array<string>").alias("path"))
     found = None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 class Store:
-    """Tables under one root. Each version is a folder; ``_CURRENT`` is written last, so a failed write is never seen."""
+    """Tables under one root. Each version is a folder; ``CURRENT`` is written last, so a failed write is never seen."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,7 +21,7 @@ class Store:
 
     def version(self, table: str) -> int | None:
         """The current version of a table, or None before the first write."""
-        where, fs = self._path(table, "_CURRENT")
+        where, fs = self._path(table, "CURRENT")
         if not fs.exists(where):
             return None
         return json.loads(self.spark.read.text(where.toString()).first()[0])["v"]
@@ -36,11 +36,11 @@ class Store:
     def write(self, table: str, df: DataFrame) -> int:
         number = (self.version(table) or 0) + 1
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={number}")
-        where, fs = self._path(table, "_CURRENT.tmp")
+        where, fs = self._path(table, "CURRENT.tmp")
         out = fs.create(where, True)
         out.write(bytearray(json.dumps({"v": number}).encode()))
         out.close()
-        target, _ = self._path(table, "_CURRENT")
+        target, _ = self._path(table, "CURRENT")
         if fs.exists(target):
             fs.delete(target, False)
         fs.rename(where, target)
