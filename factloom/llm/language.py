@@ -125,10 +125,12 @@ class Profiles:
     def __init__(self, dim: int = 2048, n: int = 4, seed: int = 11):
         self.dim, self.n, self.seed = dim, n, seed
         self._letters: dict[str, np.ndarray] = {}
+        self._turned: dict[tuple[str, int], np.ndarray] = {}
         self._rows: dict[str, int] = {}
         self._grams = np.empty((1024, dim), np.int8)
         self._against: np.ndarray | None = None
-        self._scores: dict[str, np.ndarray] = {}
+        self._scored: dict[str, int] = {}
+        self._scores = np.empty((0, 0), np.float32)
 
     def letter(self, c: str) -> np.ndarray:
         if c not in self._letters:
@@ -148,7 +150,10 @@ class Profiles:
         """The letter vectors of an n-gram, each permuted by its place, multiplied."""
         out = np.ones(self.dim, np.int8)
         for k, c in enumerate(gram):
-            out = out * np.roll(self.letter(c), len(gram) - 1 - k)
+            turn = len(gram) - 1 - k
+            if (c, turn) not in self._turned:
+                self._turned[c, turn] = np.roll(self.letter(c), turn)
+            out *= self._turned[c, turn]
         return out
 
     def cosines(self, text: str, prototypes: np.ndarray) -> np.ndarray:
@@ -157,17 +162,20 @@ class Profiles:
         A dot product with a bundle is the sum of those with its n-grams, which are kept; n-gram vectors are as good as
         orthogonal, so the bundle's length follows from their counts.
         """
-        if self._against is not prototypes or len(self._scores) > 400_000:
-            self._against, self._scores = prototypes, {}
+        if self._against is not prototypes or len(self._scored) > 400_000:
+            self._against, self._scored, self._scores = prototypes, {}, np.empty((4096, len(prototypes)), np.float32)
         padded = f" {text} "
-        grams = Counter(padded[i : i + self.n] for i in range(len(padded) - self.n + 1))
-        total = np.zeros(len(prototypes))
-        for gram, count in grams.items():
-            score = self._scores.get(gram)
-            if score is None:
-                score = self._scores[gram] = prototypes @ self.bound(gram).astype(np.float32)
-            total += count * score
-        return total / max(1e-9, (self.dim * sum(c * c for c in grams.values())) ** 0.5)
+        grams = Counter([padded[i : i + self.n] for i in range(len(padded) - self.n + 1)])
+        rows = [self._scored[g] if g in self._scored else self._score(g) for g in grams]
+        counts = np.fromiter(grams.values(), np.float32, len(grams))
+        return (counts @ self._scores[rows]) / max(1e-9, (self.dim * float(counts @ counts)) ** 0.5)
+
+    def _score(self, gram: str) -> int:
+        row = self._scored[gram] = len(self._scored)
+        if row >= len(self._scores):
+            self._scores = np.concatenate([self._scores, np.empty_like(self._scores)])
+        self._scores[row] = self._against @ self.bound(gram).astype(np.float32)
+        return row
 
     def profile(self, text: str) -> np.ndarray:
         """The bundle of the n-gram vectors of a text."""
