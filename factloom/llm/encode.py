@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import spread
+
 #: Words whose ids, and token pairs whose compatibility, a task keeps at most; beyond that it starts anew.
 CACHE = 400_000
 
@@ -110,7 +112,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, "doc_id bigint, ids array<int>")
+    return spread(rows).mapInArrow(work, "doc_id bigint, ids array<int>")
 
 
 _ENCODERS: dict[str, PrefixEncoder] = {}

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch
+from factloom.session import spread
 
 #: Equal similarity means equal after rounding to this many digits.
 DIGITS = 6
@@ -81,7 +82,7 @@ def encode(rows: DataFrame, grp: str = "grp", id: str = "id", embedding: str = "
     """
     ready = rows.where(F.col(grp).isNotNull() & F.col(id).isNotNull() & (F.size(embedding) > 0))
     ready = ready.select(F.col(grp).cast("string"), F.col(id).cast("string"), F.col(embedding).cast("array<float>"))
-    return ready.mapInArrow(_encode, "grp string, id string, hash binary, code binary")
+    return spread(ready).mapInArrow(_encode, "grp string, id string, hash binary, code binary")
 
 
 def _pivots(coded: DataFrame, count: int) -> dict[int, np.ndarray]:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch
+from factloom.session import spread
 
 # The languages and what labels call them.
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "ru")
@@ -126,8 +127,6 @@ class Profiles:
         self.dim, self.n, self.seed = dim, n, seed
         self._letters: dict[str, np.ndarray] = {}
         self._turned: dict[tuple[str, int], np.ndarray] = {}
-        self._rows: dict[str, int] = {}
-        self._grams = np.empty((1024, dim), np.int8)
         self._against: np.ndarray | None = None
         self._scored: dict[str, int] = {}
         self._scores = np.empty((0, 0), np.float32)
@@ -137,15 +136,6 @@ class Profiles:
             self._letters[c] = np.random.default_rng([self.seed, ord(c)]).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1
         return self._letters[c]
 
-    def _row(self, gram: str) -> int:
-        row = self._rows.get(gram)
-        if row is None:
-            row = self._rows[gram] = len(self._rows)
-            if row >= len(self._grams):
-                self._grams = np.concatenate([self._grams, np.empty_like(self._grams)])
-            self._grams[row] = self.bound(gram)
-        return row
-
     def bound(self, gram: str) -> np.ndarray:
         """The letter vectors of an n-gram, each permuted by its place, multiplied."""
         out = np.ones(self.dim, np.int8)
@@ -156,6 +146,19 @@ class Profiles:
             out *= self._turned[c, turn]
         return out
 
+    def counts(self, text: str) -> Counter:
+        """How often each n-gram occurs in a text."""
+        padded = f" {text} "
+        return Counter([padded[i : i + self.n] for i in range(len(padded) - self.n + 1)])
+
+    def bundle(self, counts: dict[str, int]) -> np.ndarray:
+        """The sum of n-gram vectors, each as often as it is counted."""
+        out, grams = np.zeros(self.dim), list(counts)
+        for at in range(0, len(grams), 2048):
+            part = grams[at : at + 2048]
+            out += np.fromiter((counts[g] for g in part), np.float64, len(part)) @ np.array([self.bound(g) for g in part], np.float64)
+        return np.rint(out).astype(np.int64)
+
     def cosines(self, text: str, prototypes: np.ndarray) -> np.ndarray:
         """Cosine of the profile of a text with unit prototypes.
 
@@ -164,8 +167,7 @@ class Profiles:
         """
         if self._against is not prototypes or len(self._scored) > 400_000:
             self._against, self._scored, self._scores = prototypes, {}, np.empty((4096, len(prototypes)), np.float32)
-        padded = f" {text} "
-        grams = Counter([padded[i : i + self.n] for i in range(len(padded) - self.n + 1)])
+        grams = self.counts(text)
         rows = [self._scored[g] if g in self._scored else self._score(g) for g in grams]
         counts = np.fromiter(grams.values(), np.float32, len(grams))
         return (counts @ self._scores[rows]) / max(1e-9, (self.dim * float(counts @ counts)) ** 0.5)
@@ -177,13 +179,16 @@ class Profiles:
         self._scores[row] = self._against @ self.bound(gram).astype(np.float32)
         return row
 
-    def profile(self, text: str) -> np.ndarray:
-        """The bundle of the n-gram vectors of a text."""
-        if len(self._rows) > 60_000:
-            self._rows.clear()
-        padded = f" {text} "
-        rows = [self._row(padded[i : i + self.n]) for i in range(len(padded) - self.n + 1)]
-        return self._grams[rows].sum(axis=0, dtype=np.int32)
+
+_PROFILES: dict[int, Profiles] = {}
+
+
+def _profiles(dim: int) -> Profiles:
+    """The profile maker of this Python worker, kept from task to task with the n-gram vectors it has made."""
+    if dim not in _PROFILES:
+        _PROFILES.clear()
+        _PROFILES[dim] = Profiles(dim)
+    return _PROFILES[dim]
 
 
 def stretches(cosines: np.ndarray, stay: float = 0.06) -> tuple[list[int], list[float]]:
@@ -240,10 +245,12 @@ def _bundle(labelled: DataFrame, dim: int, judge) -> dict[str, np.ndarray]:
     """Sums of sentence profiles by language: by label alone, by label where the judge agrees, or the judge's corrections."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, sums = Profiles(dim), {}
+        maker, sums = _profiles(dim), {}
 
-        def add(lang: str, vector: np.ndarray) -> None:
-            sums[lang] = sums.get(lang, 0) + vector.astype(np.int64)
+        def add(lang: str, sentence: str, sign: int = 1) -> None:
+            total = sums.setdefault(lang, {})
+            for gram, count in maker.counts(sentence).items():
+                total[gram] = total.get(gram, 0) + sign * count
 
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -251,28 +258,29 @@ def _bundle(labelled: DataFrame, dim: int, judge) -> dict[str, np.ndarray]:
                 found = sentences(text) if lang else []
                 if not found:
                     continue
-                vectors = np.array([maker.profile(s) for s in found])
                 if judge is None:
-                    add(lang, vectors.sum(axis=0))
+                    for sentence in found:
+                        add(lang, sentence)
                     continue
                 langs, prototypes, filtering = judge.value
                 if lang not in langs:
                     continue
                 own = langs.index(lang)
-                cosines = vectors @ prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+                cosines = np.array([maker.cosines(sentence, prototypes) for sentence in found])
                 agree = cosines.argmax(axis=1) == own
                 if filtering:
-                    if agree.any():
-                        add(lang, vectors[agree].sum(axis=0))
+                    for i in np.nonzero(agree)[0]:
+                        add(lang, found[i])
                 elif agree.mean() >= 0.6:
                     mine = cosines[:, own].copy()
                     cosines[:, own] = -2
                     lead = mine - cosines.max(axis=1)
                     for i in np.nonzero((lead < 0.05) & (lead > -0.12))[0]:
-                        add(lang, vectors[i])
-                        add(langs[int(cosines[i].argmax())], -vectors[i])
+                        add(lang, found[i])
+                        add(langs[int(cosines[i].argmax())], found[i], -1)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
+            vectors = [maker.bundle(total) for total in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in vectors], pa.list_(pa.int64()))], names=["lang", "v"])
 
     rows = labelled.select("lang", "text").mapInArrow(work, "lang string, v array<bigint>").toPandas()
     total: dict[str, np.ndarray] = {}
@@ -291,7 +299,7 @@ def segments(docs: DataFrame, langs: list[str], prototypes: np.ndarray, stay: fl
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
-        maker = Profiles(matrix.shape[1])
+        maker = _profiles(matrix.shape[1])
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for doc, label, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -311,7 +319,7 @@ def segments(docs: DataFrame, langs: list[str], prototypes: np.ndarray, stay: fl
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "label", "seg", "lang", "n", "confidence", "n_segs"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "lang", "text")
-    return rows.mapInArrow(work, "doc_id bigint, label string, seg int, lang string, n int, confidence double, n_segs int")
+    return spread(rows).mapInArrow(work, "doc_id bigint, label string, seg int, lang string, n int, confidence double, n_segs int")
 
 
 def wrong_labels(docs: DataFrame, sample: int = 6_000) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch
+from factloom.session import spread
 
 # Characters that a scan, another script or a digit key confuses, each with the one that stands for its class.
 _CLASSES = str.maketrans("01|!ijtf5$8e60qgñаеорсухіјѕԁкмнтв", "oollllllssbccogonaeopcyxllsdkmhlb"[:33])
@@ -188,4 +189,4 @@ def _printed(texts: DataFrame, id: str, k: int, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, places, hashes)], names=["id", "pos", "hash"])
 
     rows = texts.where(F.col(id).isNotNull() & (F.length("text") > 0)).select(F.col(id).cast("bigint"), "text")
-    return rows.mapInArrow(work, "id bigint, pos int, hash bigint")
+    return spread(rows).mapInArrow(work, "id bigint, pos int, hash bigint")
