@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import problems, q_eval, q_facts, q_temporal, q_text
+from factloom.plans import problems, q_eval, q_facts, q_temporal, q_text, q_upkeep
 
-MODULES = [problems, q_facts, q_temporal, q_text, q_eval]
+MODULES = [problems, q_facts, q_temporal, q_text, q_eval, q_upkeep]
 
 
 def queries() -> dict:
