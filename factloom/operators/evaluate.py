@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.scratch import Scratch
+
 
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole to six digits, null where the whole is 0."""
@@ -32,19 +35,28 @@ def wilson_lower(hits: Column, total: Column, z: float = 1.96) -> Column:
     return F.round((p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n), 6)
 
 
+def dense_number(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows numbered from 0 in the order of a unique ``key`` without one task for all: ranges are numbered by themselves and shifted by the sizes of those before."""
+    scratch = Scratch(rows.sparkSession, "number")
+    ranged = scratch.save(rows.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("part").count()
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    shifts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(W.partitionBy("part").orderBy(key)) - 1
+    return scratch.save(ranged.withColumn("own", own).join(F.broadcast(shifts), "part").withColumn(name, F.col("own") + F.col("shift")).drop("part", "own", "shift"), "numbered")
+
+
 def bootstrap(pairs: DataFrame, key: str, a: str, b: str, rounds: int = 200, seed: str = "17") -> DataFrame:
     """95 % interval of the mean difference a - b over resampled keys: ``n, lo, hi``.
 
     ``pairs`` has one row per key; of it only the dense number and the two values are used. Draw i of a round takes the row whose number
     a digest of (seed, round, i) names, so any engine draws alike; draws meet the rows in one equi-join and each round is one group.
     """
-    from pyspark.sql import Window as W
-
-    numbered = pairs.select((F.row_number().over(W.orderBy(key)) - 1).alias("i"), (F.col(a) - F.col(b)).alias("d"))
-    total = numbered.agg(F.count("*").alias("n"))
-    draws = numbered.select(F.col("i").alias("draw")).crossJoin(F.broadcast(total)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    numbered = dense_number(pairs.select(key, (F.col(a) - F.col(b)).alias("d")), key, "i").select("i", "d")
+    total = numbered.count()
+    draws = numbered.select(F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
     text = F.concat_ws("|", F.lit(seed), F.col("r").cast("string"), F.col("draw").cast("string"))
-    draws = draws.withColumn("i", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("n")).cast("int"))
+    draws = draws.select("r", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % total).alias("i"))
     means = draws.join(numbered, "i").groupBy("r").agg(F.avg("d").alias("m"))
     q = lambda p: F.round(F.percentile("m", F.lit(p)), 6)
     return means.agg(F.count("*").alias("rounds"), q(0.025).alias("lo"), q(0.975).alias("hi"))

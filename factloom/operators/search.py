@@ -20,9 +20,9 @@ def text_search_idf(docs: DataFrame, query: str, id: str, text: str, limit: int
     """As :func:`text_search`, each term weighted by its inverse document frequency over all documents."""
     words = docs.select(id, F.explode(F.array_distinct(norm.terms(F.col(text)))).alias("term"))
     asked = docs.sparkSession.range(1).select(F.explode(F.array_distinct(norm.terms(F.lit(query)))).alias("term"))
-    total = docs.select(F.count("*").alias("total"))
+    total = docs.select(F.count("*")).scalar()
     hits = words.join(F.broadcast(asked), "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(total).select("term", F.log((F.col("total") + 1) / F.col("df")).alias("w"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log((total + 1) / F.col("df")).alias("w"))
     scored = hits.join(F.broadcast(df), "term").groupBy(id).agg(F.round(F.sum("w"), 6).alias("score"))
     return scored.orderBy(F.desc("score"), id).limit(limit)
 
@@ -35,8 +35,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_search(vectors: DataFrame, query: DataFrame, id: str, embedding: str, limit: int = 20, floor: float | None = None) -> DataFrame:
-    """The vectors closest to the one vector of ``query`` (column ``q``): ``id, score``. The query row is broadcast; it is a single row by contract."""
-    scored = vectors.crossJoin(F.broadcast(query.select("q").limit(1))).select(id, F.round(cosine(F.col(embedding), F.col("q")), 6).alias("score"))
+    """The vectors closest to the one vector of ``query`` (column ``q``): ``id, score``. The query is one row, read as a scalar."""
+    scored = vectors.withColumn("q", query.select("q").limit(1).scalar()).select(id, F.round(cosine(F.col(embedding), F.col("q")), 6).alias("score"))
     if floor is not None:
         scored = scored.where(F.col("score") >= floor)
     return scored.orderBy(F.desc("score"), id).limit(limit)

@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def forward_asof(overlays: DataFrame, steps: DataFrame, key: str, step: str, value: str) -> DataFrame:
+def forward_asof(overlays: DataFrame, steps: list[int], key: str, step: str, value: str) -> DataFrame:
     """``key, step, value``: the value of the smallest overlay step at or after each step (null after the last one).
 
-    Overlays (one row per key and step) and steps are brought into one ordered window per key, so the join needs no theta condition.
+    Overlays (one row per key and step) and the listed steps are brought into one ordered window per key, so the join needs no theta condition.
     """
-    grid = overlays.select(key).distinct().crossJoin(F.broadcast(steps.select(step)))
+    grid = overlays.select(key).distinct().withColumn(step, F.explode(F.array(*[F.lit(n) for n in steps])))
     both = grid.join(overlays.select(key, step, value), [key, step], "left")
     w = W.partitionBy(key).orderBy(F.col(step)).rowsBetween(0, W.unboundedFollowing)
     return both.withColumn(value, F.first(value, ignorenulls=True).over(w))

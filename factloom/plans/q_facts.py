@@ -166,9 +166,9 @@ def stale_lastmodified(spark: SparkSession, sf: str) -> DataFrame:
 
 def contradiction_scope(spark: SparkSession, sf: str) -> DataFrame:
     """Facts in scope at each of seven yearly steps: stored by its start and not ended by then."""
-    steps = spark.range(7).select(F.col("id").cast("int").alias("step"), ((F.col("id") * 365 + 9131) * 86_400_000_000).alias("at_us"))
-    rows = fact(spark, sf)
-    hit = rows.join(F.broadcast(steps), (F.col("valid_us") <= F.col("at_us")) & (F.col("invalid_us").isNull() | (F.col("invalid_us") > F.col("at_us"))))
+    rows = fact(spark, sf).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    at = (F.col("step").cast("bigint") * 365 + 9131) * 86_400_000_000
+    hit = rows.where((F.col("valid_us") <= at) & (F.col("invalid_us").isNull() | (F.col("invalid_us") > at)))
     return hit.groupBy("step", "tier").agg(F.count("*").alias("n"))
 
 

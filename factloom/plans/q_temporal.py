@@ -17,8 +17,7 @@ _OVERLAY = "(SELECT o_custkey path, CAST(o_orderkey % 7 AS INTEGER) step, max(o_
 def content_at_step(spark: SparkSession, sf: str) -> DataFrame:
     """Forward as-of: the content of every path at every step is that of its next overlay."""
     overlay = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("path"), (F.col("o_orderkey") % 7).cast("int").alias("step")).agg(F.max("o_orderkey").alias("content"))
-    steps = spark.range(7).select(F.col("id").cast("int").alias("step"))
-    return temporal.forward_asof(overlay, steps, "path", "step", "content")
+    return temporal.forward_asof(overlay, list(range(7)), "path", "step", "content")
 
 
 def active_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,8 +66,8 @@ def demotion_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
-    steps = spark.range(7).select(F.col("id").cast("int").alias("step"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("node")).crossJoin(F.broadcast(steps)).where("(node + step) % 5 = 0")
+    steps = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("step")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("node"), steps).where("(node + step) % 5 = 0")
 
 
 _CHANGES = "(SELECT p_partkey node, CAST(range AS INTEGER) step FROM part, range(7) WHERE (p_partkey + range) % 5 = 0)"
@@ -87,9 +86,8 @@ def lift_invalidated_by_change(spark: SparkSession, sf: str) -> DataFrame:
 
 def unexpected_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Every node is expected to pass at steps 2 and 4."""
-    steps = spark.range(1).select(F.explode(F.array(F.lit(2), F.lit(4))).alias("step"))
-    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
-    expected = nodes.crossJoin(F.broadcast(steps)).withColumn("expected", F.lit("passed"))
+    steps = F.explode(F.array(F.lit(2), F.lit(4))).alias("step")
+    expected = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), steps).withColumn("expected", F.lit("passed"))
     return runs.unexpected(expected, run_view(spark, sf))
 
 

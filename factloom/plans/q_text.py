@@ -116,7 +116,7 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_nearest_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     """The vector of every label that is closest to the asked one: a map-side maximum per label."""
-    e = table(spark, sf, "embeddings").crossJoin(F.broadcast(_asked(spark, sf).limit(1)))
+    e = table(spark, sf, "embeddings").withColumn("q", _asked(spark, sf).limit(1).scalar())
     best = F.max(F.struct(F.round(search.cosine(F.col("embedding"), F.col("q")), 6).alias("score"), (-F.col("vec_id")).alias("neg")))
     return e.groupBy("label").agg(best.alias("m")).select("label", (-F.col("m.neg")).alias("vec_id"), F.col("m.score").alias("score"))
 

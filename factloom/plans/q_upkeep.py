@@ -59,9 +59,9 @@ def entity_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 def snapshot_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts that were live at each of four snapshots, by tier."""
-    at = spark.range(4).select(F.col("id").cast("int").alias("step"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 182 * 86_400_000_000).cast("timestamp_ntz").alias("at"))
-    rows = stored(spark, sf, "created_at", "expired_at", "tier")
-    hit = rows.join(F.broadcast(at), (F.col("created_at") <= F.col("at")) & (F.col("expired_at").isNull() | (F.col("expired_at") > F.col("at"))))
+    rows = stored(spark, sf, "created_at", "expired_at", "tier").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("step").cast("bigint") * 182 * 86_400_000_000).cast("timestamp_ntz")
+    hit = rows.where((F.col("created_at") <= at) & (F.col("expired_at").isNull() | (F.col("expired_at") > at)))
     return hit.groupBy("step", "tier").agg(F.count("*").alias("n"))
 
 

@@ -71,8 +71,7 @@ def test_pages_and_winners(spark):
 
 def test_steps(spark):
     over = spark.createDataFrame([("p", 2, "v2"), ("p", 5, "v5")], "path string, step int, content string")
-    steps = spark.createDataFrame([(n,) for n in range(7)], "step int")
-    assert [r.content for r in temporal.forward_asof(over, steps, "path", "step", "content").orderBy("step").collect()] == ["v2"] * 3 + ["v5"] * 3 + [None]
+    assert [r.content for r in temporal.forward_asof(over, list(range(7)), "path", "step", "content").orderBy("step").collect()] == ["v2"] * 3 + ["v5"] * 3 + [None]
     states = spark.createDataFrame([("p", n, v) for n, v in enumerate(["a", "a", "b", "b", None, "b"])], "path string, step int, blob string")
     assert [r.changed_step for r in temporal.last_change(states, "path", "step", "blob").orderBy("step").collect()] == [0, 0, 2, 2, 4, 5]
 
