@@ -95,11 +95,12 @@ def _pivots(coded: DataFrame, count: int) -> dict[int, np.ndarray]:
     return {dim: unpack(sorted(set(codes))).astype(np.float32) for dim, codes in by_dim.items()}
 
 
-def index(rows: DataFrame, scratch: Scratch, pivots: int | None = None, nearest: int = 2, max_pivots: int = 8192) -> DataFrame:
+def index(rows: DataFrame, scratch: Scratch, pivots: int | None = None, nearest: int = 2, spill: float = 0.9, max_pivots: int = 8192) -> DataFrame:
     """The written table ``grp, id, hash, code, near``: every comparable vector with the leaves of its nearest pivots.
 
     ``pivots`` defaults to the square root of the row count (at most ``max_pivots``, which bounds what is sampled and
-    broadcast), so a leaf grows as slowly as the number of leaves. Of copies that come in one batch only the smallest id is
+    broadcast), so a leaf grows as slowly as the number of leaves. A vector goes to its ``nearest`` leaves, and to one more
+    where that pivot is nearly (``spill``) as close as the closest: only there could a near vector have gone elsewhere. Of copies that come in one batch only the smallest id is
     sent to leaves (the others have none), so a mass of copies never meets in one leaf.
     """
     coded = scratch.save(encode(rows), "coded")
@@ -122,8 +123,12 @@ def index(rows: DataFrame, scratch: Scratch, pivots: int | None = None, nearest:
                 found = [[0]] * len(at)
                 if pivot is not None and len(pivot) > 1:
                     closeness = unpack([codes[n] for n in at]).astype(np.float32) @ pivot.T
-                    m = min(nearest, closeness.shape[1])
-                    found = np.argpartition(-closeness, m - 1, axis=1)[:, :m].tolist()
+                    m = min(nearest + 1, closeness.shape[1])
+                    top = np.argpartition(-closeness, m - 1, axis=1)[:, :m]
+                    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(closeness, top, axis=1), axis=1), axis=1)
+                    reach = np.take_along_axis(closeness, top, axis=1)
+                    more = reach[:, -1] >= spill * reach[:, 0]
+                    found = [leaf if wide else leaf[:nearest] for leaf, wide in zip(top.tolist(), more)]
                 for n, leaf in zip(at, found):
                     near[n] = leaf
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=["grp", "id", "hash", "code", "near"])
@@ -186,9 +191,10 @@ def _leaf_edges(k: int, floor: float):
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The k closest neighbours of every u; of equal similarity the smaller id."""
+    """The k closest neighbours of every u, each once; of equal similarity the smaller id. One shuffle, limited before it."""
     order = W.partitionBy("grp", "u").orderBy(F.desc("sim"), "v")
-    return edges.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+    best = edges.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k).drop("n")
+    return best.dropDuplicates(["grp", "u", "v"])
 
 
 def neighbour_graph(coded: DataFrame, scratch: Scratch, k: int = 10, floor: float = 0.7, block: int = 4096, rounds: int = 2) -> DataFrame:
@@ -214,21 +220,29 @@ def neighbour_graph(coded: DataFrame, scratch: Scratch, k: int = 10, floor: floa
         .sortWithinPartitions(*keys)
         .mapInArrow(_leaf_edges(k, floor), "grp string, u string, v string, sim double")
     )
-    graph = scratch.save(_top(first.distinct(), k), "graph")
+    graph = scratch.save(_top(first, k), "graph")
+    new = graph
     for _ in range(rounds):
-        better = _descend(coded, graph, scratch, floor)
+        better = _descend(coded, graph, new, scratch, floor)
         if better is None:
             break
-        graph = scratch.save(_top(graph.unionByName(better).distinct(), k), "graph")
+        new, graph = better, scratch.save(_top(graph.unionByName(better), k), "graph")
     return graph
 
 
-def _descend(coded: DataFrame, graph: DataFrame, scratch: Scratch, floor: float) -> DataFrame | None:
-    """One round of NN-descent: new edges among neighbours of neighbours, both ways, or None if there are none."""
-    step = graph.select("grp", F.col("u").alias("m"), F.col("v").alias("w"))
-    onward = graph.select("grp", "u", F.col("v").alias("m")).join(step, ["grp", "m"]).select("grp", "u", "w")
-    lists = graph.groupBy("grp", "u").agg(F.sort_array(F.collect_list("v")).alias("vs")).where(F.size("vs") > 1)
-    beside = lists.select("grp", F.explode("vs").alias("u"), "vs").select("grp", "u", F.explode("vs").alias("w"))
+def _descend(coded: DataFrame, graph: DataFrame, new: DataFrame, scratch: Scratch, floor: float) -> DataFrame | None:
+    """One round of NN-descent: new edges among neighbours of neighbours, both ways, or None if there are none.
+
+    Only paths with an edge in ``new`` (what the round before added; at first all) can lead to pairs not seen before.
+    """
+    first = new is graph
+    ahead = lambda df: df.select("grp", F.col("u").alias("m"), F.col("v").alias("w"))
+    behind = lambda df: df.select("grp", "u", F.col("v").alias("m"))
+    owned = lambda df: df.select("grp", F.col("u").alias("m"), F.col("v").alias("u"))
+    onward = behind(new).join(ahead(graph), ["grp", "m"])
+    if not first:
+        onward = onward.unionByName(behind(graph).join(ahead(new), ["grp", "m"]))
+    beside = owned(new).join(ahead(graph), ["grp", "m"])
     pairs = onward.unionByName(beside).where("u <> w").select("grp", F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).distinct()
     known = graph.select("grp", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     fresh = scratch.save(pairs.join(known, ["grp", "a", "b"], "left_anti"), "fresh")
@@ -236,10 +250,9 @@ def _descend(coded: DataFrame, graph: DataFrame, scratch: Scratch, floor: float)
     if not count:
         return None
     scored = score(fresh, coded, count <= BROADCAST_PAIRS).where(F.col("sim") >= floor)
-    scored = scratch.save(scored, "scored")
-    if scored.isEmpty():
-        return None
-    return scored.selectExpr("grp", "a AS u", "b AS v", "sim").unionByName(scored.selectExpr("grp", "b AS u", "a AS v", "sim"))
+    both = F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    better = scratch.save(scored.select("grp", both, "sim"), "better")
+    return None if better.isEmpty() else better
 
 
 def score(pairs: DataFrame, coded: DataFrame, small: bool) -> DataFrame:
