@@ -24,6 +24,8 @@ from factloom.session import spread
 DIGITS = 6
 #: Tables of candidate pairs up to this many rows are broadcast; larger ones are joined by shuffles.
 BROADCAST_PAIRS = 20_000
+#: Query vectors of up to this many bytes of codes are broadcast to the vectors they are compared with.
+BROADCAST_CODES = 8_000_000
 
 
 def pack(vector: np.ndarray) -> bytes:
@@ -307,44 +309,137 @@ def similar_pairs(rows: DataFrame, min_sim: float = 0.8, k: int = 5, **fit) -> D
     return best.select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b")).distinct()
 
 
-def search(queries: DataFrame, coded: DataFrame, graph: DataFrame, scratch: Scratch, k: int = 10, beam: int = 16, starts: int = 8, max_steps: int = 6) -> DataFrame:
+def search(queries: DataFrame, coded: DataFrame, graph: DataFrame, scratch: Scratch, k: int = 10, beam: int = 48, max_entries: int = 8192) -> DataFrame:
     """Greedy search of the graph for every query (``grp, q, code``): ``grp, q, v, sim`` of the k closest nodes.
 
-    Each query starts at the ``starts`` pivots of its group that are closest to it (a bounded sample of nodes) and moves,
-    for all queries at once, to the neighbours of its ``beam`` best nodes, by a join per step, until no query gets closer.
+    A group is entered at as many nodes as it has leaves (the root of its size, 64 at least, ``max_entries`` at most), each query at
+    the ``beam`` of them closest to it. All queries at once move to the neighbours of the nodes that are new in their ``beam`` best, by
+    a join per step, until no query gets closer. Edges are walked both ways, of those that end in a node the closest ones back, so a
+    cluster that no list of others names is reached too. Few queries (:data:`BROADCAST_CODES`) go to the vectors, more are joined.
     """
-    nodes = graph.select("grp", "u").distinct()
-    entry = nodes.join(coded.select("grp", F.col("id").alias("u"), "code"), ["grp", "u"])
-    sample = entry.withColumn("n", F.row_number().over(W.partitionBy("grp").orderBy(F.xxhash64("u")))).where(F.col("n") <= 64)
-    sample = scratch.save(sample.select("grp", F.col("u").alias("v"), "code"), "entry")
-    q = scratch.save(queries.select("grp", "q", F.col("code").alias("code_q")), "queries")
+    nodes = coded.groupBy("grp", "hash").agg(F.min("id").alias("v"), F.min("code").alias("code")).drop("hash")
+    nodes = scratch.save(nodes.orderBy("v").withColumn("n", F.monotonically_increasing_id()), "nodes")  # in the order of ids, for ties
+    width = graph.groupBy("grp", "u").count().agg(F.max("count")).first()[0] or 1
+    back = _top(graph.select("grp", F.col("v").alias("u"), F.col("u").alias("v"), "sim"), width)
+    name = lambda n, v: nodes.select("grp", F.col("n").alias(n), F.col("v").alias(v))
+    links = graph.select("grp", "u", "v").unionByName(back.select("grp", "u", "v")).join(name("n", "u"), ["grp", "u"]).join(name("to", "v"), ["grp", "v"])
+    links = scratch.save(links.groupBy("n").agg(F.collect_set("to").alias("to")), "links")
+    asked = queries.groupBy("grp", "q").agg(F.min("code").alias("code"))
+    asked = scratch.save(asked.withColumn("m", F.monotonically_increasing_id()), "queries")
+    small = (asked.agg(F.sum(F.length("code"))).first()[0] or 0) <= BROADCAST_CODES
+    to = _score_few(asked, nodes) if small else _score_many(asked, nodes)
 
-    def to(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(q, ["grp", "q"]).join(coded.select("grp", F.col("id").alias("v"), "code"), ["grp", "v"])
+    def best(df: DataFrame, n: int) -> DataFrame:
+        return df.withColumn("r", F.row_number().over(W.partitionBy("m").orderBy(F.desc("sim"), "n"))).where(F.col("r") <= n).drop("r")
+
+    found = scratch.save(_enter(asked, nodes, beam, max_entries).withColumn("new", F.lit(True)), "beam")
+    while not (front := found.where("new")).isEmpty():
+        moves = front.select("m", "n").join(links, "n").select("m", F.explode("to").alias("n"))
+        both = to(moves, found, beam).withColumn("new", F.lit(True)).unionByName(found.withColumn("new", F.lit(False)))
+        once = both.repartition("m").groupBy("m", "n").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+        step = scratch.save(best(once, beam), "beam")
+        scratch.drop(found)
+        found = step
+    out = best(found, k).join(asked.select("m", "grp", "q"), "m").join(nodes.select("n", "v"), "n")
+    return out.select("grp", "q", "v", "sim")
+
+
+def _enter(asked: DataFrame, nodes: DataFrame, beam: int, max_entries: int) -> DataFrame:
+    """``m, n, sim``: the ``beam`` entries of its group that are closest to every query. The entries are a sample by hash, broadcast."""
+    size = nodes.groupBy("grp").count()
+    most = F.least(F.lit(float(max_entries)), F.greatest(F.lit(64.0), F.sqrt("count")))
+    part = F.pmod(F.xxhash64("v", F.lit(17)), F.lit(1 << 40)) < most / F.col("count") * F.lit(float(1 << 40))
+    by: dict[str, list] = {}
+    for row in nodes.join(size, "grp").where(part).select("grp", "n", "code").orderBy("n").collect():
+        by.setdefault(row["grp"], []).append((row["n"], bytes(row["code"])))
+    table = asked.sparkSession.sparkContext.broadcast({g: (np.array([n for n, _ in r]), [c for _, c in r]) for g, r in by.items()})
 
-        def cosines(batches):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries: dict[str, np.ndarray] = {}
+        for batch in batches:
+            at: dict[str, list[tuple[int, bytes]]] = {}
+            for g, m, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                at.setdefault(g, []).append((m, c))
+            for g, rows in at.items():
+                if g not in table.value:
+                    continue
+                ns, codes = table.value[g]
+                if g not in entries:
+                    entries[g] = unpack(codes)
+                for s in range(0, len(rows), 1024):
+                    ms = np.array([m for m, _ in rows[s : s + 1024]])
+                    vectors = unpack([c for _, c in rows[s : s + 1024]])
+                    close = vectors @ entries[g].T
+                    top = np.argpartition(-close, min(beam, len(ns)) - 1, axis=1)[:, :beam]
+                    a, b = np.repeat(np.arange(len(ms)), top.shape[1]), top.ravel()
+                    sim = np.einsum("ij,ij->i", vectors[a], entries[g][b])
+                    yield pa.RecordBatch.from_arrays([pa.array(ms[a]), pa.array(ns[b]), pa.array(np.round(sim, DIGITS))], names=["m", "n", "sim"])
+
+    return spread(asked.select("grp", "m", "code")).mapInArrow(work, "m bigint, n bigint, sim double")
+
+
+def _score_few(asked: DataFrame, nodes: DataFrame):
+    """Scores pairs ``m, n``: every node's vector meets the broadcast ones of its queries, so it moves once. What no full beam can take is left out."""
+    rows = sorted((r["m"], bytes(r["code"])) for r in asked.select("m", "code").collect())
+    by: dict[int, list] = {}
+    for m, c in rows:
+        by.setdefault((len(c) - 1) // (4 if c[0] == 255 else 1), []).append((m, c))
+    table = asked.sparkSession.sparkContext.broadcast({dim: (np.array([m for m, _ in r]), [c for _, c in r]) for dim, r in by.items()})
+
+    def to(pairs: DataFrame, found: DataFrame, beam: int) -> DataFrame:
+        full = found.groupBy("m").agg(F.count("*").alias("c"), F.min("sim").alias("least")).where(F.col("c") >= beam)
+        least = asked.sparkSession.sparkContext.broadcast({r["m"]: r["least"] for r in full.collect()})
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready: dict[int, tuple] = {}
             for batch in batches:
-                if batch.num_rows:
-                    sim = np.einsum("ij,ij->i", unpack(batch.column(3).to_pylist()), unpack(batch.column(4).to_pylist()))
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.round(sim, DIGITS))], names=["grp", "q", "v", "sim"])
+                out: list[list] = [[], [], []]
+                for n, ms, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                    dim = (len(c) - 1) // (4 if c[0] == 255 else 1)
+                    if dim not in ready:
+                        ids, codes = table.value[dim]
+                        ready[dim] = ids, unpack(codes), np.array([least.value.get(m, -2.0) for m in ids.tolist()])
+                    ids, vectors, floor = ready[dim]
+                    at = np.searchsorted(ids, ms.values.to_numpy())
+                    sim = np.round(np.einsum("ij,j->i", vectors[at], unpack([c])[0]), DIGITS)
+                    keep = sim >= floor[at]
+                    out[0].append(ids[at[keep]])
+                    out[1].append(np.full(int(keep.sum()), n))
+                    out[2].append(sim[keep])
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["m", "n", "sim"])
+
+        wide = pairs.groupBy("n").agg(F.collect_set("m").alias("ms")).join(nodes.select("n", "code"), "n")
+        return wide.select("n", "ms", "code").mapInArrow(work, "m bigint, n bigint, sim double")
+
+    return to
+
+
+def _score_many(asked: DataFrame, nodes: DataFrame):
+    """As :func:`_score_few`, with the vectors of both sides joined to the pairs."""
 
-        return both.select("grp", "q", "v", "code_q", "code").mapInArrow(cosines, "grp string, q string, v string, sim double").distinct()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ca, cb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            dims = np.array([(len(c) - 1) // (4 if c[0] == 255 else 1) for c in ca])
+            sim = np.empty(len(ca))
+            for dim in np.unique(dims):
+                at = np.nonzero(dims == dim)[0]
+                sim[at] = np.einsum("ij,ij->i", unpack([ca[i] for i in at]), unpack([cb[i] for i in at]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.round(sim, DIGITS))], names=["m", "n", "sim"])
 
-    def best(df: DataFrame, n: int) -> DataFrame:
-        order = W.partitionBy("grp", "q").orderBy(F.desc("sim"), "v")
-        return df.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).drop("n")
-
-    seen = scratch.save(to(q.select("grp", "q").join(sample.select("grp", "v"), "grp")), "seen")
-    front = best(seen, starts)
-    for _ in range(max_steps):
-        moves = front.join(graph.select("grp", F.col("u").alias("v"), F.col("v").alias("next")), ["grp", "v"]).select("grp", "q", F.col("next").alias("v")).distinct()
-        fresh = scratch.save(to(moves.join(seen, ["grp", "q", "v"], "left_anti")), "step")
-        if fresh.isEmpty():
-            break
-        both = scratch.save(seen.unionByName(fresh), "seen")
-        beamed = best(both, beam)
-        front = beamed.join(fresh.select("grp", "q", "v"), ["grp", "q", "v"])
-        seen = both
-        if front.isEmpty():
-            break
-    return best(seen, k)
+    def to(pairs: DataFrame, found: DataFrame, beam: int) -> DataFrame:
+        fresh = pairs.distinct().join(found.select("m", "n"), ["m", "n"], "left_anti")
+        wide = fresh.join(asked.select("m", F.col("code").alias("code_q")), "m").join(nodes.select("n", "code"), "n")
+        return wide.select("m", "n", "code_q", "code").mapInArrow(work, "m bigint, n bigint, sim double")
+
+    return to
+
+
+def closest_rows(found: DataFrame, coded: DataFrame, k: int) -> DataFrame:
+    """``grp, q, v, sim``: the k closest other rows of every query, from its k + 1 closest nodes. Every copy of a node's vector is a row."""
+    members = coded.select("grp", "hash", "id").distinct()
+    first = members.withColumn("n", F.row_number().over(W.partitionBy("grp", "hash").orderBy("id"))).where(F.col("n") <= k + 1)
+    node = members.groupBy("grp", "hash").agg(F.min("id").alias("node"))
+    rows = found.join(first.join(node, ["grp", "hash"]).select("grp", F.col("node").alias("v"), "id"), ["grp", "v"]).where("id <> q")
+    return _top(rows.select("grp", F.col("q").alias("u"), F.col("id").alias("v"), "sim"), k).withColumnRenamed("u", "q")

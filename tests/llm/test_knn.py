@@ -103,3 +103,40 @@ def test_search_recall(spark, sf):
         hits += len(got[ids[i]] & set(ids[best]))
         total += 10
     assert hits / total >= 0.9
+
+
+def test_search_reaches_every_small_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(600, 24))
+    rows = [("g", f"{c:04d}-{m}", [float(x) for x in np.float32(v + rng.normal(size=24) * 0.1)]) for c, v in enumerate(centres) for m in range(4)]
+    scratch = Scratch(spark, "t")
+    coded = knn.index(spark.createDataFrame(rows, SCHEMA), scratch, nearest=3)
+    graph = knn.neighbour_graph(coded, scratch, k=8, floor=-1.0, rounds=0)
+    asked = coded.where("id like '%-0' and cast(substring(id, 1, 4) as int) % 12 = 0").select("grp", F.col("id").alias("q"), "code")
+    few = {tuple(r) for r in knn.search(asked, coded, graph, scratch, k=4).select("q", "v").collect()}
+    assert sum(q[:4] == v[:4] for q, v in few) >= 0.9 * 200
+    monkeypatch.setattr(knn, "BROADCAST_CODES", 0)
+    assert {tuple(r) for r in knn.search(asked, coded, graph, scratch, k=4).select("q", "v").collect()} == few
+
+
+def test_search_of_records_against_brute_force(spark):
+    from factloom.llm import queries
+
+    sf, got = "/root/testdata/sf0.001", {}
+    for r in queries.p1_search_records(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    groups = {}
+    for name, kind in (("stored_fact", F.lit("fact")), ("entity", F.col("kind"))):
+        for r in spark.read.parquet(f"{sf}/{name}.parquet").select(kind.alias("k"), "id", "embedding").where("k is not null").collect():
+            if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding):
+                groups.setdefault((name, r.k, len(r.embedding)), {})[r.id] = r.embedding
+    hits = total = 0
+    for rows in groups.values():
+        ids, x = np.array(sorted(rows)), np.array([rows[i] for i in sorted(rows)], float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        for i in (n for n, v in enumerate(ids) if int(v[2:], 16) % 20 == 0):
+            best = [j for j in np.argsort(-np.round(x @ x[i], 6), kind="stable") if j != i][:10]
+            hits += len(got.get(ids[i], set()) & set(ids[best]))
+            total += len(best)
+            assert ids[i] not in got.get(ids[i], set()) and len(got.get(ids[i], set())) <= 10
+    assert total > 50 and hits / total >= 0.99
