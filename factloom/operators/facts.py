@@ -94,3 +94,25 @@ def superseded(edges: DataFrame) -> DataFrame:
     """Folded supersessions ``old, new, at``: the earliest end, and the successor named first; a fact never supersedes itself."""
     real = edges.where("old <> new")
     return real.groupBy("old").agg(F.min("at").alias("invalid_us"), F.min(F.struct("at", "new")).alias("m")).select("old", "invalid_us", F.col("m.new").alias("superseded_by"))
+
+
+def closed_by_conflict(facts: DataFrame) -> DataFrame:
+    """``id, superseded_by, closed_us``: every fact (``id, entity, attribute, num, valid_us``) with the first later start of its key that has another
+    value, and the smallest id with another value there. Starts of equal single value form islands, so nothing is compared in pairs.
+    """
+    key = ["entity", "attribute"]
+    rows = facts.where("num IS NOT NULL AND valid_us IS NOT NULL").select("id", *key, "num", "valid_us")
+    w = W.partitionBy(*key).orderBy("valid_us")
+    starts = rows.groupBy(*key, "valid_us").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
+    same = (F.col("lo") == F.col("hi")) & (F.lag("lo").over(w) == F.col("lo")) & (F.lag("hi").over(w) == F.col("lo"))
+    starts = starts.withColumn("first", F.when(~F.coalesce(same, F.lit(False)), F.col("valid_us")))
+    after = F.min("first").over(w.rowsBetween(1, W.unboundedFollowing))
+    # The start of the next island, seen from each start, and from the start that follows it.
+    starts = starts.withColumn("after", after)
+    ahead = [F.lead(c).over(w).alias(f"next_{c}") for c in ("valid_us", "lo", "hi", "after")]
+    open_ = rows.join(starts.select(*key, "valid_us", *ahead), [*key, "valid_us"])
+    repeats = (F.col("next_lo") == F.col("num")) & (F.col("next_hi") == F.col("num"))
+    open_ = open_.withColumn("closed_us", F.when(repeats, F.col("next_after")).otherwise(F.col("next_valid_us"))).where("closed_us IS NOT NULL")
+    least = rows.groupBy(*key, F.col("valid_us").alias("closed_us"), F.col("num").alias("other")).agg(F.min("id").alias("by"))
+    hit = open_.select("id", *key, "num", "closed_us").join(least, [*key, "closed_us"]).where("other <> num")
+    return hit.groupBy("id", "closed_us").agg(F.min("by").alias("superseded_by")).select("id", "superseded_by", "closed_us")

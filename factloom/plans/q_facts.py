@@ -98,6 +98,11 @@ def supersede_chain(spark: SparkSession, sf: str) -> DataFrame:
     return nxt.where("next_num <> num AND next_us > valid_us").select("id", F.col("next_id").alias("superseded_by"), F.col("next_us").alias("closed_us"))
 
 
+def supersede_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Connector facts of a claim, each closed at the first later start of a fact with another value, whatever lies between."""
+    return facts.closed_by_conflict(fact(spark, sf).where(F.col("tier").isin(*norm.CONNECTOR_TIERS)))
+
+
 def supersede_same_source(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 
@@ -182,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         facts_as_of, facts_current, facts_since, facts_held_after, facts_by_source, facts_by_claim_key, facts_citing, explain_rank, explain_page, episodes_latest,
-        fact_merge, winner_by_tier, winner_by_fidelity, supersede_fold, supersede_chain, supersede_same_source, fact_identity, entity_identity,
+        fact_merge, winner_by_tier, winner_by_fidelity, supersede_fold, supersede_chain, supersede_conflicts, supersede_same_source, fact_identity, entity_identity,
         claim_contradictions, contradictions_by_entity, contradictions_resolved, contradictions_open_first, stale_claims, stale_since, stale_lastmodified,
         contradiction_scope, validity_steps,
     )
@@ -232,6 +237,9 @@ FROM r JOIN t USING (base_id) GROUP BY r.base_id, t.m""",
     "supersede_fold": f"SELECT id AS \"old\", epoch_us(min(created_at)) invalid_us, min(superseded_by) superseded_by FROM {STORED} WHERE superseded_by IS NOT NULL AND superseded_by <> id GROUP BY id",
     "supersede_chain": f"""SELECT id, next_id superseded_by, next_us closed_us FROM (SELECT *, lead(id) OVER w next_id, lead(valid_us) OVER w next_us, lead(num) OVER w next_num FROM {FACT}
       WHERE tier <> 'documented' WINDOW w AS (PARTITION BY entity, attribute ORDER BY valid_us, id)) WHERE next_num <> num AND next_us > valid_us""",
+    "supersede_conflicts": f"""WITH c AS (SELECT * FROM {FACT} WHERE tier <> 'documented'), p AS (SELECT a.id, b.id n, b.valid_us u FROM c a JOIN c b ON a.entity = b.entity
+      AND a.attribute = b.attribute AND b.valid_us > a.valid_us AND a.num <> b.num), m AS (SELECT id, min(u) u FROM p GROUP BY 1)
+      SELECT id, min(n) superseded_by, u closed_us FROM p JOIN m USING (id, u) GROUP BY id, u""",
     "supersede_same_source": f"""SELECT o AS "old", id AS "new", valid_us at_us FROM (SELECT *, lag(id) OVER w o, lag(num) OVER w onum FROM {FACT} WINDOW w AS (PARTITION BY source_key, entity ORDER BY valid_us, id))
       WHERE o IS NOT NULL AND onum <> num""",
     "fact_identity": f"""SELECT id, 'f-' || substr(sha1('claim|' || claim_entity || '|' || {_ATT} || '|' ||

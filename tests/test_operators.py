@@ -121,3 +121,12 @@ def test_measures(spark):
     got = {r.k: (r.precision, r.recall, r.f1) for r in evaluate.precision_recall(rows, ["k"]).collect()}
     assert got == {"s": (1.0, 0.5, 0.666667), "t": (None, None, None)}
     assert one(spark, evaluate.wilson_lower(F.lit(8), F.lit(10))) == pytest.approx(0.49, abs=0.01)
+
+
+def test_a_repeated_value_does_not_keep_facts_open(spark):
+    from factloom.operators import facts
+
+    rows = [("a", 5, 1), ("b", 5, 2), ("c", 7, 3), ("d", 5, 3), ("e", 5, 4), ("f", 6, 5), ("g", 6, 5)]
+    df = spark.createDataFrame([(i, "x", "y", n, v) for i, n, v in rows], "id string, entity string, attribute string, num int, valid_us long")
+    got = {tuple(r) for r in facts.closed_by_conflict(df).collect()}
+    assert got == {("a", "c", 3), ("b", "c", 3), ("c", "e", 4), ("d", "f", 5), ("e", "f", 5)}
