@@ -90,10 +90,18 @@ def versions(obs: DataFrame, hot_rows: int = 200_000, slices: int = 200) -> Data
         before = before.select("ent", "att", "slice", F.sum("n").over(order).alias("earlier"))
         marked = marked.join(before, ["ent", "att", "slice"], "left").withColumn("island", F.col("island") + F.coalesce("earlier", F.lit(0)))
     islands = marked.groupBy("ent", "att", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("base").alias("base")
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("base").alias("base"), F.min("slice").alias("slice")
     )
-    number = F.row_number().over(W.partitionBy("ent", "att", "base").orderBy("start")) - 1
-    numbered = islands.withColumn("n", number).withColumn(
+    own = F.row_number().over(W.partitionBy("ent", "att", "base", "slice").orderBy("start")) - 1
+    if cut:
+        # A value that a hot claim takes again and again is numbered slice by slice, from the count of the slices before.
+        islands = scratch.save(islands, "islands")
+        per = islands.where("slice > 0").groupBy("ent", "att", "base", "slice").agg(F.count("*").alias("k"))
+        order = W.partitionBy("ent", "att", "base").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+        per = per.select("ent", "att", "base", "slice", F.sum("k").over(order).alias("before"))
+        islands = islands.join(per, ["ent", "att", "base", "slice"], "left")
+        own = own + F.coalesce("before", F.lit(0))
+    numbered = islands.withColumn("n", own).withColumn(
         "version_id", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat_ws(".", "base", F.col("n").cast("string")))
     )
     if cut:

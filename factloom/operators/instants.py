@@ -32,20 +32,22 @@ _DAY_US = 86_400_000_000
 
 _NAME = "(" + "|".join(n for names in _MONTHS.values() for n in sorted(names, key=len, reverse=True)) + r")\.?"
 _WEEKDAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+)?"
-_TIME = r"(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d{1,9}))?)?(?:\s*([ap])\.?m(?:\.|(?![a-z])))?(?:\s*uhr)?"
+_TIME = r"(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d+))?)?(?:\s*([ap])\.?m(?:\.|(?![a-z])))?(?:\s*uhr)?"
 _ZONE = r"(?:\s*(?:utc|gmt)?\s*([+-]\d{2}(?::?\d{2})?))?(?:\s*[\[(]?\s*(z|[a-z]{2,5}|[a-z_]+(?:/[a-z_+-]+)+)\s*[\])]?)?"
 
 #: The cascade, first match wins: an anchored pattern and the groups of year, month, day, then of hour, minute, second, fraction, a/p, offset, zone.
 _CASCADE = {
     "iso": (r"^(\d{4})([-/])(\d{2})\2(\d{2})(?:(?:t|\s+)" + _TIME + ")?" + _ZONE + "$", (1, 3, 4), range(5, 12)),
-    "basic": (r"^(\d{4})(\d{2})(\d{2})(?:t?(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d{1,9}))?)?()" + _ZONE + ")?$", (1, 2, 3), range(4, 11)),
+    "basic": (r"^(\d{4})(\d{2})(\d{2})(?:t?(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d+))?)?()" + _ZONE + ")?$", (1, 2, 3), range(4, 11)),
     "ordinal": (r"^(\d{4})-(\d{3})()(?:(?:t|\s+)" + _TIME + ")?" + _ZONE + "$", (1, 3, 2), range(4, 11)),
     "digits": (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})(?:,?\s+" + _TIME + ")?" + _ZONE + "$", (4, 3, 1), range(5, 12)),
     "day_first": (r"^" + _WEEKDAY + r"(\d{1,2})(?:\.|st|nd|rd|th)?[\s-]+" + _NAME + r"[\s-]+(\d{4})(?:,?\s+(?:at\s+|um\s+)?" + _TIME + ")?" + _ZONE + "$", (3, 2, 1), range(4, 11)),
     "month_first": (r"^" + _WEEKDAY + _NAME + r"\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?:,?\s+(?:at\s+)?" + _TIME + ")?" + _ZONE + "$", (3, 1, 2), range(4, 11)),
 }
-#: Plain numbers since 1970, by their digits before the point: seconds, milliseconds, microseconds, nanoseconds.
-_EPOCH = {r"^\d{9,11}(?:\.\d+)?$": 1_000_000, r"^\d{12,14}$": 1_000, r"^\d{15,17}$": 1}
+#: Plain numbers since 1970, by their digits before the point: seconds, milliseconds, microseconds, nanoseconds; with microseconds as a share of each.
+_EPOCH = {r"^-?\d{9,11}(?:\.\d+)?$": (1_000_000, 1), r"^-?\d{12,14}(?:\.\d+)?$": (1_000, 1), r"^-?\d{15,17}(?:\.\d+)?$": (1, 1), r"^-?\d{18,20}(?:\.\d+)?$": (1, 1_000)}
+#: What is taken for a local time that occurs twice, and for one that is skipped.
+TWICE, SKIPPED = ("first", "second", "none"), ("before", "after", "none")
 
 
 def _int(text: Column) -> Column:
@@ -61,25 +63,31 @@ def _canonical(text: Column) -> Column:
     return out
 
 
-def utc_micros(values: DataFrame, text: str = "value", tz: str = "tz", date_order: str = "date_order", out: str = "utc_us") -> DataFrame:
+def utc_micros(values: DataFrame, text: str = "value", tz: str = "tz", date_order: str = "date_order", out: str = "utc_us", twice: str = "first", skipped: str = "before") -> DataFrame:
     """Add the UTC instant, in microseconds since 1970, that each text of column ``text`` states.
 
     Method: an ordered cascade of anchored patterns read strictly (first match wins, no leftovers). A text that no
     pattern matches whole, that lacks year, month or day, or that states an impossible date or time gives null, as do
-    null, empty and very long texts. An offset in the text goes first, then a zone it names; else ``tz`` of the row, the
+    null and empty texts; a text is read whole, however long. An offset in the text goes first, then a zone it names; else ``tz`` of the row, the
     zone of its source. ``date_order`` (``dmy``, ``mdy``; null is ``dmy``) rules digits with two-digit leading parts.
-    Two-digit years are 20xx, no time of day is local midnight, plain numbers count from 1970 UTC, digits beyond
-    microseconds are cut. A local time that occurs twice means the first unless offset or abbreviation tell; one
-    that is skipped is read with the offset before the change. All of it is column expressions, so nothing leaves the JVM.
+    Two-digit years are 20xx, no time of day is local midnight, plain numbers count from 1970 UTC (of nine digits or more:
+    shorter ones are version numbers rather than times), digits beyond microseconds are cut.
+
+    Policies: a local time that occurs ``twice`` means the ``first``, the ``second`` or ``none`` of its instants, unless offset
+    or abbreviation tell; one that is ``skipped`` is read with the offset ``before`` or ``after`` the change or gives ``none``.
+    All of it is column expressions, so nothing leaves the JVM.
     """
+    if twice not in TWICE or skipped not in SKIPPED:
+        raise ValueError(f"twice is one of {TWICE}, skipped one of {SKIPPED}")
     blank = r"[\s   　]+"
     raw = F.regexp_replace(F.regexp_replace(F.col(text), "[−‐‑‒–]", "-"), blank, " ")
     clean = F.lower(F.regexp_replace(raw, "^[\"'`“”‘’ ]+|[\"'`“”‘’ ]+$", ""))
-    df = values.withColumn("__t", F.when(F.length(text) <= 200, clean))
+    df = values.withColumn("__t", clean)
     epoch = None
-    for pattern, unit in _EPOCH.items():
+    number = F.regexp_replace("__t", r"(\.\d{12})\d+$", "$1").cast("decimal(38,12)")
+    for pattern, (times, share) in _EPOCH.items():
         hit = F.col("__t").rlike(pattern)
-        got = F.floor(F.col("__t").cast("decimal(30,12)") * unit).cast("bigint")
+        got = F.floor(number * times / share).cast("bigint")
         epoch = F.when(hit, got) if epoch is None else epoch.when(hit, got)
     df = df.withColumn("__c", F.split(_canonical(F.col("__t")), r"\|")).withColumn("__epoch", epoch)
     names = F.create_map(*[F.lit(x) for n, spelt in _MONTHS.items() for name in spelt for x in (name, n)])
@@ -129,11 +137,26 @@ def utc_micros(values: DataFrame, text: str = "value", tz: str = "tz", date_orde
     df = df.withColumns({"__fixed": fixed, "__named": zone})
     fixed, zone = p("fixed"), p("named")
     utc = F.when(fixed.isNotNull(), F.col("__local") - fixed.cast("bigint") * 60_000_000).when(
-        zone.isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("__local"), zone))
+        zone.isNotNull(), _zoned(F.col("__local"), zone, twice, skipped)
     )
     return df.withColumn(out, F.coalesce(utc, F.col("__epoch"))).select(*values.columns, out)
 
 
+def _zoned(local: Column, zone: Column, twice: str, skipped: str) -> Column:
+    """The instant (microseconds) of a local time in a zone, by the policies of :func:`utc_micros`."""
+    there = lambda us: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
+    # Spark takes the first of two instants, and the offset before a gap.
+    first = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
+    if (twice, skipped) == ("first", "before"):
+        return first
+    late = first + F.lit(_DAY_US)
+    other = local - (there(late) - late)
+    known = there(first) == local
+    second = known & (other > first) & (there(other) == local)
+    out = F.when(~known, {"before": first, "after": other, "none": F.lit(None).cast("bigint")}[skipped])
+    return out.when(second, {"first": first, "second": other, "none": F.lit(None).cast("bigint")}[twice]).otherwise(first)
+
+
 def registry_instants(registry: DataFrame, sites: DataFrame) -> DataFrame:
     """``reg_id, field, utc_us`` of every time that a document registration states.
 

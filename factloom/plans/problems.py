@@ -13,6 +13,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.hierarchy(hierarchy.part_edges(table(spark, sf_dir, "entity_relation")))
 
 
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of entity_relation with each node below it and how far below."""
+    return hierarchy.descendants(hierarchy.part_edges(table(spark, sf_dir, "entity_relation")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of every claim of stored_fact with their validity and successor."""
     return history.versions(table(spark, sf_dir, "stored_fact"))
@@ -23,10 +28,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instants.registry_instants(table(spark, sf_dir, "document_registry"), table(spark, sf_dir, "source_site"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p3_descendants": p3_descendants, "p4_found": p4_found, "p5_found": p5_found}
 
-ORACLE = {
-    "p3_found": r"""
+_PARTS = r"""
 WITH RECURSIVE raw AS (
   SELECT lower(regexp_replace(src, '\s+', '', 'g')) s, lower(regexp_replace(dst, '\s+', '', 'g')) d,
          regexp_replace(lower(kind), '[^a-z]', '', 'g') k
@@ -38,11 +42,15 @@ WITH RECURSIVE raw AS (
   GROUP BY id
 ), node AS (SELECT id FROM edge UNION SELECT parent FROM edge),
 up AS (
-  SELECT id, id AS anc, 0 AS steps FROM node
-  UNION SELECT up.id, edge.parent, least(up.steps + 1, 200) FROM up JOIN edge ON edge.id = up.anc WHERE up.steps < 200
-), pair AS (SELECT id, anc, min(steps) steps FROM up GROUP BY 1, 2),
+  SELECT id, id AS anc, [id] AS path FROM node
+  UNION ALL SELECT up.id, edge.parent, list_append(up.path, edge.parent) FROM up JOIN edge ON edge.id = up.anc WHERE NOT list_contains(up.path, edge.parent)
+), pair AS (SELECT id, anc, len(path) - 1 AS steps FROM up),
 onloop AS (SELECT DISTINCT e.id FROM edge e JOIN pair p ON p.id = e.parent AND p.anc = e.id),
-below AS (SELECT anc id, count(*) - 1 n FROM pair GROUP BY 1),
+"""
+
+ORACLE = {
+    "p3_found": _PARTS
+    + r"""below AS (SELECT anc id, count(*) - 1 n FROM pair GROUP BY 1),
 looproot AS (SELECT p.id, min(p.anc) root FROM pair p JOIN onloop o ON o.id = p.anc GROUP BY 1),
 treeroot AS (SELECT p.id, p.anc root, p.steps depth FROM pair p JOIN node n ON n.id = p.anc WHERE p.anc NOT IN (SELECT id FROM edge)),
 paths AS (SELECT id, string_agg(anc, '>' ORDER BY steps DESC) path FROM pair GROUP BY 1)
@@ -51,6 +59,8 @@ SELECT n.id node_id, coalesce(l.root, t.root) root_id,
        CASE WHEN l.root IS NOT NULL THEN '' ELSE p.path END path, CAST(b.n AS INTEGER) n_below
 FROM node n LEFT JOIN looproot l USING (id) LEFT JOIN treeroot t USING (id) JOIN below b USING (id) JOIN paths p USING (id)
 """,
+    "p3_descendants": _PARTS
+    + "x AS (SELECT 1) SELECT anc AS node_id, id AS below_id, CAST(steps AS INTEGER) AS distance FROM pair WHERE steps > 0 AND anc NOT IN (SELECT id FROM onloop)",
     "p4_found": """
 WITH c AS (
   SELECT claim_entity e, claim_attribute a, base_id b, epoch_us(valid_at) v,

@@ -69,6 +69,18 @@ def test_hierarchy_cleaning_and_edge_cases(spark):
     assert hierarchy.hierarchy(hierarchy.part_edges(rel.where("false"))).count() == 0
 
 
+def test_descendants(spark):
+    edges = [("b", "a"), ("c", "b"), ("d", "b"), ("l1", "l2"), ("l2", "l1"), ("x", "l1"), ("y", "x")]
+    got = {tuple(r) for r in hierarchy.descendants(spark.createDataFrame(edges, "id string, parent string")).collect()}
+    assert got == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1), ("x", "y", 1)}
+
+
+def test_hierarchy_deeper_than_any_round_count(spark):
+    chain = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(1500)] + [(f"s{i}", "n0700") for i in range(300)]
+    got = rows_of(hierarchy.hierarchy(spark.createDataFrame(chain, "id string, parent string"), together=2))
+    assert got == brute_hierarchy(chain)
+
+
 OBS = "id string, base_id string, claim_entity string, claim_attribute string, valid_at timestamp_ntz, invalid_at timestamp_ntz, created_at timestamp_ntz, expired_at timestamp_ntz, version_id string"
 
 
@@ -105,6 +117,15 @@ def test_history_hot_claim_is_sliced_alike(spark):
     assert len(plain) > 50
 
 
+def test_history_flapping_value_of_a_hot_claim(spark):
+    rows = [(f"f{n:03d}", "A" if n % 2 else "B", "e", "x", dt(2024, 1 + n // 28, 1 + n % 28), None, dt(2025, 1, 1), None) for n in range(200)]
+    rows += [(f"g{n}", "C", "e2", "x", dt(2024, 1, 1 + n), None, dt(2025, 1, 1), None) for n in range(5)]
+    df = obs(spark, rows)
+    plain = sorted(map(tuple, history.versions(df).collect()))
+    assert plain == sorted(map(tuple, history.versions(df, hot_rows=20, slices=7).collect()))
+    assert {v for v, *_ in plain} == {"C"} | {b + (f".{n}" if n else "") for b in "AB" for n in range(100)}
+
+
 CASES = [
     ("2024-08-04T02:21:31+02:00", (2024, 8, 4, 0, 21, 31)), ("2024-08-04 02:21:31.9999999 UTC", (2024, 8, 4, 2, 21, 31, 999999)), ("05/04/24 1:07 p.m.", (2024, 4, 5, 11, 7)),
     ("2024-03-31 02:30", (2024, 3, 31, 1, 30)), ("2024-10-27 02:30", (2024, 10, 27, 0, 30)), ("2024-10-27 02:30 CET", (2024, 10, 27, 1, 30)), ("2024-10-27T02:30:00 (Europe/Berlin)", (2024, 10, 27, 0, 30)),
@@ -122,6 +143,21 @@ def test_instants(spark):
         assert got[n] == (None if want is None else us(*want[:6]) + (want[6] if len(want) > 6 else 0)), text
 
 
+def test_instants_long_texts_numbers_and_policies(spark):
+    texts = [(" " * 500 + "2024-01-01Z" + " " * 500, us(2024, 1, 1)), ("2024-01-01T00:00:00." + "1" * 300 + "Z", us(2024, 1, 1) + 111111), ("1703164241000000999", 1703164241000000), ("-1703164241", -1703164241000000),
+             ("1703164241.9999999999999", 1703164241999999), ("12345678", None), ("17", None)]
+    df = spark.createDataFrame([(n, v, "UTC", None) for n, (v, _) in enumerate(texts)], "n int, value string, tz string, date_order string")
+    assert {r.n: r.utc_us for r in instants.utc_micros(df).collect()} == {n: want for n, (_, want) in enumerate(texts)}
+    local = spark.createDataFrame([(1, "2024-10-27 02:30", "Europe/Berlin", None), (2, "2024-03-31 02:30", "Europe/Berlin", None), (3, "2024-07-01 02:30", "Europe/Berlin", None)], "n int, value string, tz string, date_order string")
+    got = lambda **p: {r.n: r.utc_us for r in instants.utc_micros(local, **p).collect()}
+    july = us(2024, 7, 1, 0, 30)
+    assert got() == {1: us(2024, 10, 27, 0, 30), 2: us(2024, 3, 31, 1, 30), 3: july}
+    assert got(twice="second", skipped="after") == {1: us(2024, 10, 27, 1, 30), 2: us(2024, 3, 31, 0, 30), 3: july}
+    assert got(twice="none", skipped="none") == {1: None, 2: None, 3: july}
+    with pytest.raises(ValueError):
+        got(twice="third")
+
+
 def test_instants_registry_rules(spark):
     reg = spark.createDataFrame(
         [(1, "s", "ticket", "04/05/2024 10:00", "2024-01-01"), (1, "s", "ticket", "04/05/2024 10:00", "2024-01-01"), (2, "s", "wiki", "2024-01-01", "2024-01-01"), (3, "?", "wiki", None, "2024-01-01"),
@@ -135,7 +171,7 @@ def test_instants_registry_rules(spark):
     assert instants.registry_instants(reg.drop("tz").where("false"), sites).count() == 0
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p4_found"])
+@pytest.mark.parametrize("name", ["p3_found", "p3_descendants", "p4_found"])
 def test_found_queries_against_sql(spark, name):
     from factloom.plans import problems
 
