@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 Iterative operators cut their lineage here: every round is written as a parquet table, so a lost executor costs the
-tasks it ran and not the rounds before. The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-that is unset (tests, a laptop) a folder of this process is made.
+tasks it ran and not the rounds before. The folder is the one the cluster names in ``spark.checkpoint.dir``; only in local
+mode, where that is unset (tests, a laptop), a folder of this process is made.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="factloom-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
@@ -49,10 +51,16 @@ class Scratch:
         """Tables of one schema as a single scan, where a union would add a branch to the plan for each."""
         return self.spark.read.schema(tables[0].schema).parquet(*(t._factloom_path for t in tables))
 
+    def clear(self) -> None:
+        """Remove all tables of this run, once nothing reads them any more."""
+        self._delete(self.root)
+
     def drop(self, df: DataFrame | None) -> None:
         """Remove a table that no later plan reads."""
         path = getattr(df, "_factloom_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
