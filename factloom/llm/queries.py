@@ -68,6 +68,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.wrong_labels(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p1_search_records": p1_search_records, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document and of each of its stretches."""
+    return language.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p1_search_records": p1_search_records, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
 
 ORACLE: dict[str, str] = {}

@@ -76,8 +76,47 @@ def test_winnowing_guarantee():
     assert a & b
 
 
+def test_fingerprints_of_a_batch_are_those_of_each_text():
+    rng = random.Random(8)
+    texts = [[rng.choice(["amber", "quay", "zinc", "hü", "a", "😀x"]) for _ in range(rng.choice([0, 1, 2, 3, 9, 40]))] for _ in range(60)]
+    text, at, hashed = leak.fingerprints(texts, 8, 4)
+    for n, words in enumerate(texts):
+        _, alone, own = leak.fingerprints([words], 8, 4)
+        assert at[text == n].tolist() == alone.tolist() and hashed[text == n].tolist() == own.tolist()
+        letters = len("".join(words)) - 7
+        assert (len(alone) > 0) == (letters > 0) and all(0 <= p < letters for p in alone)
+
+
+def brute_stretch(item, doc, drop=2, least=8):
+    """Every match against every match before it."""
+    best, found = 0, []
+    for i, word in enumerate(doc):
+        for j in range(1, len(item) + 1):
+            if leak.same_word(item[j - 1], word):
+                before = [(s - max(i - a, j - b) + 1, p, f) for a, b, (s, p, f) in found if a < i and b < j and max(i - a, j - b) <= drop + 1]
+                score, peak, first = max([(s, p, f) for s, p, f in before if s > 0 and s >= p - drop], default=(0, 0, j))
+                found.append((i, j, (score + 1, max(peak, score + 1), first)))
+                if score + 1 >= least:
+                    best = max(best, j - first + 1)
+    return best
+
+
+def test_stretches_against_all_cells():
+    rng, words = random.Random(2), [f"word{c}x" for c in "abcdefghij"] + ["the", "of", "12345"]
+    for _ in range(300):
+        item = [rng.choice(words) for _ in range(30)]
+        doc = [rng.choice(words) for _ in range(10)] + item[rng.randrange(5) : rng.randrange(12, 30)] + [rng.choice(words) for _ in range(10)]
+        for _ in range(rng.randrange(6)):
+            n = rng.randrange(len(doc))
+            doc[n : n + rng.randrange(2)] = [rng.choice(words)] * rng.randrange(2)
+        if rng.random() < 0.5:
+            n = rng.randrange(len(doc))
+            doc[n] = doc[n][:2] + "q" + doc[n][3:]
+        assert leak.longest_stretch(leak.Wanted(item), doc) == brute_stretch(item, doc)
+
+
 def fingerprints_of(words):
-    return set(leak.fingerprints(words, 8, 4)[1].tolist())
+    return set(leak.fingerprints([words], 8, 4)[2].tolist())
 
 
 TEXT = {
@@ -100,6 +139,17 @@ def test_wrong_labels(spark):
     assert language.wrong_labels(df.where("false")).count() == 0
 
 
+def test_languages_of_every_document(spark):
+    rows = [(n * 10 + k, t, lang) for n in range(6) for k, (lang, t) in enumerate(TEXT.items())]
+    rows += [(100, TEXT["en"] + " " + TEXT["de"], "xx"), (101, "Bitte bewahren Sie den Beleg auf", None), (102, None, "en"), (103, "12 + 4", None), (104, "", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("confidence", F.lit("clash"))
+    got = {(r.doc_id, r.seg): r for r in language.languages(df).collect()}
+    assert len({d for d, _ in got}) == len(rows) and all(r.confidence > 0 for r in got.values() if r.lang)
+    assert [got[100, n].lang for n in (0, 1)] == ["en", "de"] and got[100, 0].n_sentences == 3
+    assert (got[101, 0].lang, got[101, 0].n_sentences) == ("de", 0)
+    assert all((got[n, 0].lang, got[n, 0].confidence) == (None, 0.0) for n in (102, 103, 104))
+
+
 def test_labels_and_sentences():
     assert [language.label_language(x) for x in ("EN", "pt-PT", "deu", "Русский", "und", "", None, "en_GB")] == ["en", "pt", "de", "ru", None, None, None, "en"]
     text = "---\nid: a\n---\n# A heading\n\nfoo.bar() { x == 1 }\n# This comment is a sentence about parcels.\n- a/b.py\n2025-01-01T00:00:00 INFO x=1\nIt was `code` here (#12). Yes.\n"
