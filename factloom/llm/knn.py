@@ -1,9 +1,9 @@
 """Most similar vectors for every vector: a neighbour graph built by NN-descent, and greedy search in it.
 
-Rows are compared only within their group. The graph starts from pivot leaves (every vector goes to the leaves of its
-nearest pivots, a leaf is compared with itself in blocks) instead of random edges, as random edges between small, far
-clusters never lead into them; then rounds of NN-descent join neighbours with neighbours of neighbours and keep what is
-closer. Vectors travel as compact codes, scores are exact cosines in double precision.
+Rows are compared only within their group. The graph starts from a few edges of every vector (its two closest ones in the
+leaf of each of its nearest pivots) instead of random edges, as random edges between small, far clusters never lead into
+them; then rounds of NN-descent join neighbours with neighbours of neighbours and keep what is closer, until hardly an
+edge changes. Vectors travel as compact codes, scores are exact cosines in double precision.
 """
 
 from __future__ import annotations
@@ -94,24 +94,30 @@ def _pivots(coded: DataFrame, count: int) -> dict[int, np.ndarray]:
     for row in sample:
         c = bytes(row["code"])
         by_dim.setdefault((len(c) - 1) // (4 if c[0] == 255 else 1), []).append(c)
-    return {dim: unpack(sorted(set(codes))).astype(np.float32) for dim, codes in by_dim.items()}
+    return {dim: unpack(sorted(set(codes))) for dim, codes in by_dim.items()}
+
+
+def _closeness(codes: list[bytes], pivots: np.ndarray) -> np.ndarray:
+    """Cosines of coded vectors with unit pivots, the same for a code whatever others come with it: sums in another order differ beyond the digits kept."""
+    return np.round(unpack(codes) @ pivots.T, 9)
 
 
 def index(rows: DataFrame, scratch: Scratch, pivots: int | None = None, nearest: int = 2, spill: float = 0.9, max_pivots: int = 8192) -> DataFrame:
-    """The written table ``grp, id, hash, code, near``: every comparable vector with the leaves of its nearest pivots.
+    """The written table ``grp, id, hash, code, n, near``: every comparable vector, numbered, with the leaves of its nearest pivots.
 
     ``pivots`` defaults to the square root of the row count (at most ``max_pivots``, which bounds what is sampled and
     broadcast), so a leaf grows as slowly as the number of leaves. A vector goes to its ``nearest`` leaves, and to one more
-    where that pivot is nearly (``spill``) as close as the closest: only there could a near vector have gone elsewhere. Of copies that come in one batch only the smallest id is
-    sent to leaves (the others have none), so a mass of copies never meets in one leaf.
+    where that pivot is nearly (``spill``) as close as the closest: only there could a near vector have gone elsewhere. Of copies
+    that come in one batch only the smallest id is sent to leaves (the others have none), so a mass of copies never meets in one
+    leaf; which leaves depends on the code alone, whatever batch it comes in.
     """
-    coded = scratch.save(encode(rows), "coded")
+    coded = scratch.save(encode(rows).withColumn("n", F.monotonically_increasing_id()), "coded")
     count = pivots or int(min(max_pivots, max(16, coded.count() ** 0.5)))
     table = coded.sparkSession.sparkContext.broadcast(_pivots(coded, count))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grp, ids, hashes, codes = (batch.column(k).to_pylist() for k in range(4))
+            grp, ids, hashes, codes = (batch.column(c).to_pylist() for c in ("grp", "id", "hash", "code"))
             first: dict[tuple, int] = {}
             for n, key in enumerate(zip(grp, hashes)):
                 if key not in first or ids[n] < ids[first[key]]:
@@ -122,9 +128,9 @@ def index(rows: DataFrame, scratch: Scratch, pivots: int | None = None, nearest:
                 by_dim.setdefault((len(codes[n]) - 1) // (4 if codes[n][0] == 255 else 1), []).append(n)
             for dim, at in by_dim.items():
                 pivot = table.value.get(dim)
-                found = [[0]] * len(at)
+                found = [[0, 1]] * len(at)  # too few pivots: two leaves of all, which are split apart
                 if pivot is not None and len(pivot) > 1:
-                    closeness = unpack([codes[n] for n in at]).astype(np.float32) @ pivot.T
+                    closeness = _closeness([codes[n] for n in at], pivot)
                     m = min(nearest + 1, closeness.shape[1])
                     top = np.argpartition(-closeness, m - 1, axis=1)[:, :m]
                     top = np.take_along_axis(top, np.argsort(-np.take_along_axis(closeness, top, axis=1), axis=1), axis=1)
@@ -133,31 +139,27 @@ def index(rows: DataFrame, scratch: Scratch, pivots: int | None = None, nearest:
                     found = [leaf if wide else leaf[:nearest] for leaf, wide in zip(top.tolist(), more)]
                 for n, leaf in zip(at, found):
                     near[n] = leaf
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=["grp", "id", "hash", "code", "near"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=[*batch.schema.names, "near"])
 
-    out = scratch.save(coded.mapInArrow(assign, "grp string, id string, hash binary, code binary, near array<int>"), "index")
+    out = scratch.save(coded.mapInArrow(assign, "grp string, id string, hash binary, code binary, n bigint, near array<int>"), "index")
     scratch.drop(coded)
     return out
 
 
 def _leaf_edges(k: int, floor: float):
-    """Per run of rows of one block of a leaf: the k best edges of every vector, both ways."""
+    """Per run of rows of one leaf: the k best edges of every vector."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(key, rows: dict[bytes, tuple[str, bytes, int]]) -> pa.RecordBatch | None:
+        def close(rows: dict[bytes, tuple[str, int, bytes]]) -> pa.RecordBatch | None:
             if len(rows) < 2:
                 return None
-            ids = np.array([r[0] for r in rows.values()], object)
-            side = np.array([r[2] for r in rows.values()])
-            exact = unpack([r[1] for r in rows.values()])
+            number = np.array([n for _, n, _ in rows.values()])
+            exact = unpack([c for _, _, c in rows.values()])
             fast = exact.astype(np.float32)
-            cross = key[2] != key[3]
             left, right = [], []
-            for at in range(0, len(ids), 1024):
+            for at in range(0, len(number), 1024):
                 part = fast[at : at + 1024] @ fast.T
                 part[np.arange(part.shape[0]), np.arange(at, at + part.shape[0])] = -2
-                if cross:
-                    part[side[at : at + 1024][:, None] == side[None, :]] = -2
                 if part.shape[1] > 4 * k:
                     limit = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - 1e-5
                     a, b = np.nonzero(part >= np.maximum(limit, floor - 1e-5)[:, None])
@@ -169,114 +171,173 @@ def _leaf_edges(k: int, floor: float):
             if not len(a):
                 return None
             sim = np.concatenate([np.einsum("ij,ij->i", exact[a[s : s + 65536]], exact[b[s : s + 65536]]) for s in range(0, len(a), 65536)])
-            keep = sim >= floor
+            # Of a small leaf all edges are there: the best k of each are kept, with ties.
+            order = np.lexsort((-sim, a))
+            a, b, sim = a[order], b[order], np.round(sim[order], DIGITS)
+            starts = np.searchsorted(a, np.arange(len(number)))
+            kth = np.minimum(starts[a] + k - 1, np.append(starts, len(a))[a + 1] - 1)
+            keep = (sim >= floor) & (sim >= sim[kth])
             a, b, sim = a[keep], b[keep], sim[keep]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * len(a), pa.string()), pa.array(ids[a], pa.string()), pa.array(ids[b], pa.string()), pa.array(np.round(sim, DIGITS))],
-                names=["grp", "u", "v", "sim"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array(number[a]), pa.array(number[b]), pa.array(sim)], names=["u", "v", "sim"])
 
         key, rows = None, {}
         for batch in batches:
-            for g, leaf, p, q, side, i, h, c in zip(*(batch.column(n).to_pylist() for n in range(8))):
-                if (g, leaf, p, q) != key:
-                    if rows and (out := close(key, rows)) is not None:
+            for g, leaf, n, i, h, c in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if (g, leaf) != key:
+                    if rows and (out := close(rows)) is not None:
                         yield out
-                    key, rows = (g, leaf, p, q), {}
+                    key, rows = (g, leaf), {}
                 old = rows.get(h)
-                if old is None or i < old[0]:
-                    rows[h] = (i, c, side)
-        if rows and (out := close(key, rows)) is not None:
+                if old is None or (i, n) < old[:2]:
+                    rows[h] = (i, n, c)
+        if rows and (out := close(rows)) is not None:
             yield out
 
     return work
 
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The k closest neighbours of every u, each once; of equal similarity the smaller id. One shuffle, limited before it."""
-    order = W.partitionBy("grp", "u").orderBy(F.desc("sim"), "v")
-    best = edges.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k).drop("n")
-    return best.dropDuplicates(["grp", "u", "v"])
-
+def _split(leaves: DataFrame, scratch: Scratch, block: int, pivots: int = 65_536) -> DataFrame:
+    """Leaves (``grp, leaf, n, id, hash, code``) of at most about ``block`` rows: larger ones are split by pivots of their own, again and again.
 
-def neighbour_graph(coded: DataFrame, scratch: Scratch, k: int = 10, floor: float = 0.7, block: int = 4096, rounds: int = 2) -> DataFrame:
-    """Directed edges ``grp, u, v, sim`` of the k-nearest-neighbour graph over distinct vectors.
-
-    ``coded`` is a table as from :func:`index`. Exact copies are one node, named by their smallest id. Edges below
-    ``floor`` are neither kept nor followed. A leaf of more than ``block`` rows is cut into blocks and every pair of its
-    blocks is compared, so no task takes a whole hot leaf and no pair of it is missed.
+    A pass takes the largest leaves (an eighth of ``pivots`` of them at most) and at most ``pivots`` sampled rows, which bounds what is
+    collected and broadcast. Every row of a split leaf goes to its nearest pivot; what a border parts, the descent joins.
     """
-    spread = coded.select("grp", F.explode("near").alias("leaf"), "id", "hash", "code")
-    sizes = coded.select("grp", F.explode("near").alias("leaf")).groupBy("grp", "leaf").count().where(F.col("count") > block)
-    big = scratch.save(sizes.select("grp", "leaf", F.ceil(F.col("count") / block).cast("int").alias("cut")), "big")
-    if big.isEmpty():
-        blocks = spread.select("grp", "leaf", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), "id", "hash", "code")
-    else:
-        cut = spread.join(big, ["grp", "leaf"], "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
-        cut = cut.withColumn("side", F.pmod(F.xxhash64("hash"), F.col("cut")).cast("int"))
-        blocks = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-        blocks = blocks.select("grp", "leaf", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "id", "hash", "code")
-    keys = ["grp", "leaf", "p", "q"]
-    first = (
-        blocks.repartition(*keys)
-        .sortWithinPartitions(*keys)
-        .mapInArrow(_leaf_edges(k, floor), "grp string, u string, v string, sim double")
-    )
-    graph = scratch.save(_top(first, k), "graph")
-    new = graph
-    for _ in range(rounds):
-        better = _descend(coded, graph, new, scratch, floor)
+    last = None
+    while True:
+        big = leaves.groupBy("grp", "leaf").count().where(F.col("count") > block).orderBy(F.desc("count"), "grp", "leaf").limit(pivots // 8).collect()
+        sizes = {(r["grp"], r["leaf"]): r["count"] for r in big}
+        if not big or sizes == last:  # what no pivot divides
+            return leaves
+        each = max(2, min(64, pivots // len(big)))
+        chosen = leaves.sparkSession.createDataFrame([(g, leaf, 2.0 * each / c) for (g, leaf), c in sizes.items()], "grp string, leaf bigint, share double")
+        drawn = leaves.join(F.broadcast(chosen), ["grp", "leaf"]).withColumn("draw", F.xxhash64("hash", "leaf"))
+        drawn = drawn.where(F.pmod("draw", F.lit(1 << 40)) < F.col("share") * F.lit(float(1 << 40)))
+        best = W.partitionBy("grp", "leaf").orderBy("draw")
+        drawn = drawn.withColumn("r", F.row_number().over(best)).where(F.col("r") <= each)
+        by: dict[tuple, set[bytes]] = {}
+        for row in drawn.select("grp", "leaf", "code").collect():
+            by.setdefault((row["grp"], row["leaf"]), set()).add(bytes(row["code"]))
+        table = leaves.sparkSession.sparkContext.broadcast({key: sorted(codes) for key, codes in by.items() if len(codes) > 1})
+        if not table.value:
+            return leaves
+
+        def work(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                grp, leaf, codes = (batch.column(c).to_pylist() for c in ("grp", "leaf", "code"))
+                at: dict[tuple, list[int]] = {}
+                for n, key in enumerate(zip(grp, leaf)):
+                    if key in table.value:
+                        at.setdefault(key, []).append(n)
+                for key, rows in at.items():
+                    nearest = _closeness([codes[n] for n in rows], unpack(table.value[key])).argmax(axis=1)
+                    for n, p in zip(rows, nearest.tolist()):
+                        leaf[n] = (key[1] * 1_000_003 + p + 1) & 0x3FFF_FFFF_FFFF_FFFF
+                columns = [pa.array(leaf, pa.int64()) if c == "leaf" else batch.column(c) for c in batch.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        split = scratch.save(leaves.mapInArrow(work, leaves.schema), "leaves")
+        if last is not None:
+            scratch.drop(leaves)
+        last, leaves = sizes, split
+
+
+def _top(edges: DataFrame, k: int, by: tuple[str, ...] = ("u",), to: str = "v", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The k closest neighbours of every u, each once; of equal similarity the smaller one. One shuffle, limited before it."""
+    order = W.partitionBy(*by).orderBy(F.desc("sim"), to)
+    best = edges.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k).drop("r")
+    return best.groupBy(*by, to, "sim").agg(*[F.min(c).alias(c) for c in keep]) if keep else best.dropDuplicates([*by, to])
+
+
+def neighbour_graph(
+    coded: DataFrame, scratch: Scratch, k: int = 10, floor: float = 0.7, block: int = 4096, seed: int = 2, delta: float = 0.001, follow: float | None = None, watch=None
+) -> DataFrame:
+    """Directed edges ``u, v, sim`` (numbers of ``coded``) of the k-nearest-neighbour graph over distinct vectors.
+
+    ``coded`` is a table as from :func:`index`. Exact copies are one node, named by their smallest id. Edges below ``floor`` are not
+    kept, those below ``follow`` (as a rule all are above) not followed. The first edges are the ``seed`` closest of every
+    vector in each of its leaves; leaves above ``block`` rows are split by further pivots. Each round of NN-descent joins the
+    neighbours of a node, as listed by it or listing it, with each other where one of them is new, and scores the pairs not
+    known; it ends when at most a share of ``delta`` of the edges changes. ``watch`` is called with every round's graph.
+    """
+    leaves = coded.select("grp", F.explode(F.col("near").cast("array<bigint>")).alias("leaf"), "n", "id", "hash", "code")
+    leaves = _split(leaves, scratch, block)
+    first = leaves.repartition("grp", "leaf").sortWithinPartitions("grp", "leaf").mapInArrow(_leaf_edges(seed, floor), "u bigint, v bigint, sim double")
+    graph = scratch.save(_top(_both_ways(first), k).withColumn("new", F.lit(True)), "graph")
+    total = graph.count()
+    while total:
+        if watch:
+            watch(graph)
+        better = _descend(coded, graph, scratch, k, floor, follow)
         if better is None:
             break
-        new, graph = better, scratch.save(_top(graph.unionByName(better), k), "graph")
-    return graph
+        joined = graph.withColumn("new", F.lit(False)).unionByName(_both_ways(better).withColumn("new", F.lit(True)))
+        step = scratch.save(_top(joined, k, keep=("new",)), "graph")
+        scratch.drop(graph)
+        graph = step
+        sizes = graph.agg(F.count("*").alias("n"), F.count_if("new").alias("new")).first()
+        if sizes["new"] <= delta * sizes["n"]:
+            break
+    if watch:
+        watch(graph)
+    return graph.select("u", "v", "sim")
+
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Every edge, as seen from either end."""
+    ends = F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return edges.select(ends, "sim")
 
-def _descend(coded: DataFrame, graph: DataFrame, new: DataFrame, scratch: Scratch, floor: float) -> DataFrame | None:
-    """One round of NN-descent: new edges among neighbours of neighbours, both ways, or None if there are none.
 
-    Only paths with an edge in ``new`` (what the round before added; at first all) can lead to pairs not seen before.
+def _descend(coded: DataFrame, graph: DataFrame, scratch: Scratch, k: int, floor: float, follow: float | None) -> DataFrame | None:
+    """One round of NN-descent: edges ``u, v, sim`` not known before between neighbours of one node, or None if there are none.
+
+    A node's neighbours are the k that it lists and the k closest that list it, so what is joined stays within 2k for any hub. Two
+    neighbours that both are old have met before.
     """
-    first = new is graph
-    ahead = lambda df: df.select("grp", F.col("u").alias("m"), F.col("v").alias("w"))
-    behind = lambda df: df.select("grp", "u", F.col("v").alias("m"))
-    owned = lambda df: df.select("grp", F.col("u").alias("m"), F.col("v").alias("u"))
-    onward = behind(new).join(ahead(graph), ["grp", "m"])
-    if not first:
-        onward = onward.unionByName(behind(graph).join(ahead(new), ["grp", "m"]))
-    beside = owned(new).join(ahead(graph), ["grp", "m"])
-    pairs = onward.unionByName(beside).where("u <> w").select("grp", F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).distinct()
-    known = graph.select("grp", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    fresh = scratch.save(pairs.join(known, ["grp", "a", "b"], "left_anti"), "fresh")
+    used = graph if follow is None else graph.where(F.col("sim") >= follow)
+    back = _top(used.select(F.col("v").alias("m"), F.col("u").alias("w"), "sim", "new"), k, by=("m",), to="w", keep=("new",))
+    both = used.select(F.col("u").alias("m"), F.col("v").alias("w"), "new").unionByName(back.select("m", "w", "new"))
+    lists = both.groupBy("m").agg(F.collect_set(F.struct("w", "new")).alias("ws")).where(F.exists("ws", lambda x: x["new"]))
+    pairs = lists.select("ws", F.explode("ws").alias("x"))
+    pairs = pairs.select(F.col("x.w").alias("a"), F.explode(F.filter("ws", lambda y: (y["w"] > F.col("x.w")) & (y["new"] | F.col("x.new")))).alias("y"))
+    pairs = pairs.select("a", F.col("y.w").alias("b")).distinct()
+    known = graph.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    fresh = scratch.save(pairs.join(known, ["a", "b"], "left_anti"), "fresh")
     count = fresh.count()
     if not count:
         return None
     scored = score(fresh, coded, count <= BROADCAST_PAIRS).where(F.col("sim") >= floor)
-    both = F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-    better = scratch.save(scored.select("grp", both, "sim"), "better")
+    better = scratch.save(scored.select(F.col("a").alias("u"), F.col("b").alias("v"), "sim"), "better")
     return None if better.isEmpty() else better
 
 
 def score(pairs: DataFrame, coded: DataFrame, small: bool) -> DataFrame:
-    """Exact cosine of every pair ``grp, a, b``. The pairs go to the vectors (broadcast) only where their count is checked."""
+    """Exact cosine of every pair of numbers ``a, b``. The pairs go to the vectors (broadcast) only where their count is checked."""
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    one = coded.select("grp", F.col("id").alias("a"), F.col("code").alias("code_a")).join(side(pairs), ["grp", "a"])
-    two = coded.select("grp", F.col("id").alias("b"), F.col("code").alias("code_b")).join(side(one), ["grp", "b"])
+    one = coded.select(F.col("n").alias("a"), F.col("code").alias("code_a")).join(side(pairs), "a")
+    two = coded.select(F.col("n").alias("b"), F.col("code").alias("code_b")).join(side(one), "b")
+    return two.select("a", "b", "code_a", "code_b").mapInArrow(_cosines, "a bigint, b bigint, sim double")
 
-    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ca, cb = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            dims = np.array([(len(c) - 1) // (4 if c[0] == 255 else 1) for c in ca])
-            sim = np.empty(len(ca))
-            for dim in np.unique(dims):
-                at = np.nonzero(dims == dim)[0]
-                sim[at] = np.einsum("ij,ij->i", unpack([ca[i] for i in at]), unpack([cb[i] for i in at]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.round(sim, DIGITS))], names=["grp", "a", "b", "sim"])
 
-    out = two.select("grp", "a", "b", "code_a", "code_b").mapInArrow(cosines, "grp string, a string, b string, sim double")
-    return out.distinct()
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b, sim`` of rows of two numbers and two codes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ca, cb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        dims = np.array([(len(c) - 1) // (4 if c[0] == 255 else 1) for c in ca])
+        sim = np.empty(len(ca))
+        for dim in np.unique(dims):
+            at = np.nonzero(dims == dim)[0]
+            sim[at] = np.einsum("ij,ij->i", unpack([ca[i] for i in at]), unpack([cb[i] for i in at]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.round(sim, DIGITS))], names=[*batch.schema.names[:2], "sim"])
+
+
+def named(edges: DataFrame, coded: DataFrame) -> DataFrame:
+    """Edges ``grp, u, v, sim`` between ids instead of numbers."""
+    ids = lambda n: coded.select(F.col("n").alias(n), F.col("id").alias(f"{n}_id"))
+    wide = edges.join(coded.select(F.col("n").alias("u"), "grp", F.col("id").alias("u_id")), "u").join(ids("v"), "v")
+    return wide.select("grp", F.col("u_id").alias("u"), F.col("v_id").alias("v"), "sim")
 
 
 def similar_pairs(rows: DataFrame, min_sim: float = 0.8, k: int = 5, **fit) -> DataFrame:
@@ -290,7 +351,7 @@ def similar_pairs(rows: DataFrame, min_sim: float = 0.8, k: int = 5, **fit) -> D
     spark = rows.sparkSession
     scratch = Scratch(spark, "knn")
     coded = index(rows, scratch, **fit)
-    edges = neighbour_graph(coded, scratch, k=2 * k, floor=max(-1.0, min_sim - 0.1)).where(F.col("sim") >= min_sim)
+    edges = named(neighbour_graph(coded, scratch, k=2 * k, floor=max(-1.0, min_sim - 0.1)).where(F.col("sim") >= min_sim), coded)
 
     members = coded.select("grp", "hash", "id").distinct()
     classes = members.groupBy("grp", "hash").agg(F.count("*").alias("n"), F.min("id").alias("node")).where("n > 1")
@@ -302,10 +363,10 @@ def similar_pairs(rows: DataFrame, min_sim: float = 0.8, k: int = 5, **fit) -> D
     wide = edges.join(targets.select("grp", F.col("node").alias("v"), "ids"), ["grp", "v"], "left")
     wide = wide.select("grp", "u", "sim", F.explode(F.coalesce("ids", F.array("v"))).alias("v"))
     wide = wide.unionByName(first.select("grp", F.col("node").alias("u"), F.lit(1.0).alias("sim"), F.col("id").alias("v")))
-    ranked = _top(wide, k + 1)
+    ranked = _top(wide, k + 1, by=("grp", "u"))
     owners = ranked.join(copies.select("grp", F.col("node").alias("u"), F.col("id").alias("own")), ["grp", "u"], "left")
     owners = owners.select("grp", F.coalesce("own", "u").alias("u"), "v", "sim").where("u <> v")
-    best = _top(owners, k)
+    best = _top(owners, k, by=("grp", "u"))
     return best.select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b")).distinct()
 
 
@@ -320,7 +381,7 @@ def search(queries: DataFrame, coded: DataFrame, graph: DataFrame, scratch: Scra
     nodes = coded.groupBy("grp", "hash").agg(F.min("id").alias("v"), F.min("code").alias("code")).drop("hash")
     nodes = scratch.save(nodes.orderBy("v").withColumn("n", F.monotonically_increasing_id()), "nodes")  # in the order of ids, for ties
     width = graph.groupBy("grp", "u").count().agg(F.max("count")).first()[0] or 1
-    back = _top(graph.select("grp", F.col("v").alias("u"), F.col("u").alias("v"), "sim"), width)
+    back = _top(graph.select("grp", F.col("v").alias("u"), F.col("u").alias("v"), "sim"), width, by=("grp", "u"))
     name = lambda n, v: nodes.select("grp", F.col("n").alias(n), F.col("v").alias(v))
     links = graph.select("grp", "u", "v").unionByName(back.select("grp", "u", "v")).join(name("n", "u"), ["grp", "u"]).join(name("to", "v"), ["grp", "v"])
     links = scratch.save(links.groupBy("n").agg(F.collect_set("to").alias("to")), "links")
@@ -418,20 +479,10 @@ def _score_few(asked: DataFrame, nodes: DataFrame):
 def _score_many(asked: DataFrame, nodes: DataFrame):
     """As :func:`_score_few`, with the vectors of both sides joined to the pairs."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ca, cb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            dims = np.array([(len(c) - 1) // (4 if c[0] == 255 else 1) for c in ca])
-            sim = np.empty(len(ca))
-            for dim in np.unique(dims):
-                at = np.nonzero(dims == dim)[0]
-                sim[at] = np.einsum("ij,ij->i", unpack([ca[i] for i in at]), unpack([cb[i] for i in at]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.round(sim, DIGITS))], names=["m", "n", "sim"])
-
     def to(pairs: DataFrame, found: DataFrame, beam: int) -> DataFrame:
         fresh = pairs.distinct().join(found.select("m", "n"), ["m", "n"], "left_anti")
         wide = fresh.join(asked.select("m", F.col("code").alias("code_q")), "m").join(nodes.select("n", "code"), "n")
-        return wide.select("m", "n", "code_q", "code").mapInArrow(work, "m bigint, n bigint, sim double")
+        return wide.select("m", "n", "code_q", "code").mapInArrow(_cosines, "m bigint, n bigint, sim double")
 
     return to
 
@@ -442,4 +493,4 @@ def closest_rows(found: DataFrame, coded: DataFrame, k: int) -> DataFrame:
     first = members.withColumn("n", F.row_number().over(W.partitionBy("grp", "hash").orderBy("id"))).where(F.col("n") <= k + 1)
     node = members.groupBy("grp", "hash").agg(F.min("id").alias("node"))
     rows = found.join(first.join(node, ["grp", "hash"]).select("grp", F.col("node").alias("v"), "id"), ["grp", "v"]).where("id <> q")
-    return _top(rows.select("grp", F.col("q").alias("u"), F.col("id").alias("v"), "sim"), k).withColumnRenamed("u", "q")
+    return _top(rows.select("grp", F.col("q").alias("u"), F.col("id").alias("v"), "sim"), k, by=("grp", "u")).withColumnRenamed("u", "q")

@@ -27,7 +27,7 @@ def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "search")
     rows = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("grp"), F.col("vec_id").cast("string").alias("id"), "embedding")
     coded = knn.index(rows, scratch, nearest=4)
-    graph = knn.neighbour_graph(coded, scratch, k=20, floor=-1.0, rounds=1)
+    graph = knn.named(knn.neighbour_graph(coded, scratch, k=20, floor=-1.0, seed=10), coded)
     asked = coded.where("cast(id as bigint) % 20 = 0").select("grp", F.col("id").alias("q"), "code")
     found = knn.search(asked, coded, graph, scratch, k=11, beam=48).where("q <> v")
     return found.select(F.col("q").cast("bigint").alias("query_id"), F.col("v").cast("bigint").alias("vec_id"), "sim")
@@ -40,7 +40,7 @@ def p1_search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     scratch = Scratch(spark, "search")
     coded = knn.index(_records(spark, sf_dir), scratch, nearest=3)
-    graph = knn.neighbour_graph(coded, scratch, k=20, floor=-1.0, rounds=0)
+    graph = knn.named(knn.neighbour_graph(coded, scratch, k=20, floor=-1.0, seed=20, follow=0.6), coded)
     asked = coded.where("cast(conv(substring(id, 3), 16, 10) as bigint) % 20 = 0").select("grp", F.col("id").alias("q"), "code")
     found = knn.closest_rows(knn.search(asked, coded, graph, scratch, k=11, beam=48), coded, 10)
     return found.select(F.col("q").alias("query_id"), F.col("v").alias("id"), "sim")

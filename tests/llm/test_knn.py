@@ -58,26 +58,44 @@ def test_copies_ties_nulls_and_clashing_columns(spark):
     assert pairs(knn.similar_pairs(df.where("false"))) == set()
 
 
-def test_a_hot_leaf_is_cut_without_loss(spark):
+def recall(got, want):
+    return len(got & want) / len(want)
+
+
+def near(df, k):
+    """The k nearest of every node by brute force."""
+    rows = sorted((r.id, np.array(r.embedding, np.float32).astype(float)) for r in df.collect())
+    x = np.array([v / np.linalg.norm(v) for _, v in rows])
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    return {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in np.argsort(-s[i])[:k]}
+
+
+def test_a_hot_leaf_is_split_and_no_task_takes_it_whole(spark):
     rng = np.random.default_rng(2)
-    rows = [("g", f"v{n:03d}", [float(x) for x in np.float32(rng.normal(size=8) * 0.2 + 1)]) for n in range(120)]
-    scratch = Scratch(spark, "t")
-    coded = knn.index(spark.createDataFrame(rows, SCHEMA), scratch, pivots=1)
-    whole = knn.neighbour_graph(coded, scratch, k=4, floor=0.5, rounds=0)
-    cut = knn.neighbour_graph(coded, scratch, k=4, floor=0.5, rounds=0, block=17)
-    key = lambda df: {(r.u, r.v) for r in df.collect()}
-    assert key(whole) == key(cut) and len(key(cut)) == 480
+    rows = [("g", f"v{n:03d}", [float(x) for x in np.float32(rng.normal(size=8) * 0.2 + 1)]) for n in range(400)]
+    df, scratch = spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")
+    coded = knn.index(df, scratch, pivots=1)
+    leaves = knn._split(coded.select("grp", F.explode(F.col("near").cast("array<bigint>")).alias("leaf"), "n", "id", "hash", "code"), scratch, 60)
+    assert leaves.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 60 and leaves.select("id").distinct().count() == 400
+    graph = knn.named(knn.neighbour_graph(coded, scratch, k=8, floor=0.5, block=60), coded)
+    assert recall({(r.u, r.v) for r in graph.collect()}, near(df, 4)) >= 0.95
+
+
+def test_one_dimension_of_many_and_copies_in_many_batches(spark):
+    rows = [("g", f"d{n:02d}", [1.0] * (n % 30 + 1)) for n in range(90)] + [("h", f"c{n:03d}", [1.0, 0.5, 0.25]) for n in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    assert pairs(knn.similar_pairs(df)) == brute(rows)
 
 
-def test_descent_finds_what_leaves_missed(spark):
-    rng = np.random.default_rng(8)
-    rows = clusters(rng, 30, groups=("a",))
-    scratch = Scratch(spark, "t")
-    coded = knn.index(spark.createDataFrame(rows, SCHEMA), scratch, pivots=24, nearest=2)
-    count = lambda df: df.where("sim >= 0.8").count()
-    before = count(knn.neighbour_graph(coded, scratch, k=10, floor=0.6, rounds=0))
-    after = count(knn.neighbour_graph(coded, scratch, k=10, floor=0.6, rounds=2))
-    assert after >= before
+def test_descent_makes_the_edges_that_the_seed_lacks(spark):
+    rng = np.random.default_rng(4)
+    rows = [("g", f"{c:03d}-{m}", [float(x) for x in np.float32(v + rng.normal(size=24) * 0.15)]) for c, v in enumerate(rng.normal(size=(60, 24))) for m in range(8)]
+    df, scratch, rounds = spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t"), []
+    coded = knn.index(df, scratch, nearest=2)
+    want = {(a, b) for a, b in near(df, 5)}
+    knn.neighbour_graph(coded, scratch, k=10, floor=0.5, watch=lambda g: rounds.append(recall({(r.u, r.v) for r in knn.named(g, coded).collect()}, want)))
+    assert rounds[0] < 0.8 and rounds[-1] >= 0.95 and len(rounds) >= 3
 
 
 def test_codes_keep_vectors_exactly():
@@ -111,7 +129,7 @@ def test_search_reaches_every_small_cluster(spark, monkeypatch):
     rows = [("g", f"{c:04d}-{m}", [float(x) for x in np.float32(v + rng.normal(size=24) * 0.1)]) for c, v in enumerate(centres) for m in range(4)]
     scratch = Scratch(spark, "t")
     coded = knn.index(spark.createDataFrame(rows, SCHEMA), scratch, nearest=3)
-    graph = knn.neighbour_graph(coded, scratch, k=8, floor=-1.0, rounds=0)
+    graph = knn.named(knn.neighbour_graph(coded, scratch, k=8, floor=-1.0, seed=8, follow=0.6), coded)
     asked = coded.where("id like '%-0' and cast(substring(id, 1, 4) as int) % 12 = 0").select("grp", F.col("id").alias("q"), "code")
     few = {tuple(r) for r in knn.search(asked, coded, graph, scratch, k=4).select("q", "v").collect()}
     assert sum(q[:4] == v[:4] for q, v in few) >= 0.9 * 200
