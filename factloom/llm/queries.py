@@ -46,9 +46,16 @@ def p1_search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("q").alias("query_id"), F.col("v").alias("id"), "sim")
 
 
+#: What the people and extractors of these tables type besides names.
+_TYPED = canonical.Vocabulary(
+    decoration=frozenset([*canonical.DECORATION, "thing", "old", "new", "item", "no", "nr"]),
+    placeholders=frozenset([*canonical.PLACEHOLDERS, "test", "see", "above", "below", "same", "as", "before", "other"]),
+)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog entry that every entity's name or aliases denote."""
-    return canonical.map_to_list(table(spark, sf_dir, "entity"), table(spark, sf_dir, "entity_catalog"))
+    return canonical.map_to_list(table(spark, sf_dir, "entity"), table(spark, sf_dir, "entity_catalog"), vocabulary=_TYPED)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

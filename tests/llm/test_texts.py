@@ -24,13 +24,49 @@ def test_map_to_list(spark):
     ]
     rows = [(f"e{n}", name, kind, al) for n, (name, kind, al, _) in enumerate(cases)]
     df = spark.createDataFrame(rows + rows[:2], ENTITY).withColumns({"key": F.lit("clash"), "entity_id": F.lit("clash")})
-    got = {r.entity_id: r.catalog_id for r in canonical.map_to_list(df, catalog).collect()}
-    assert got == {f"e{n}": want for n, (*_, want) in enumerate(cases)}
+    # So short a list marks no kinds; what decorates its values is given.
+    typed = canonical.Vocabulary(decoration=frozenset([*canonical.DECORATION, "old"]), markers={"get": "endpoint"})
+    for bound in (100_000, 0):
+        got = {r.entity_id: r.catalog_id for r in canonical.map_to_list(df, catalog, catalog_bound=bound, vocabulary=typed).collect()}
+        assert got == {f"e{n}": want for n, (*_, want) in enumerate(cases)}
     assert canonical.map_to_list(df.where("false"), catalog).count() == 0
     empty = canonical.map_to_list(df, catalog.where("false")).collect()
     assert len(empty) == len(rows) and {r.catalog_id for r in empty} == {""}
 
 
+TITLES = ["Team Lead", "Table Games Dealer", "Software Engineer", "Senior Software Engineer", "Test Manager", "Head of People", "The Table", "Planner", "Form Planner", "From Planner",
+          "Chief executive officer for regional development of northern industrial harbours and bridges", "Old Town Guide"]
+
+
+def test_job_titles_and_brands_without_kinds(spark):
+    catalog = spark.createDataFrame([(f"T{n:02d}", t, None, None) for n, t in enumerate(TITLES)], ENTITY)
+    exact = [(t, f"T{n:02d}") for n, t in enumerate(TITLES)]
+    typed = [
+        ("team-lead", "T00"), ("TEAM LEADS", "T00"), ("lead", ""), ("sofware enginer", "T02"), ("Senior Sofware Engineer", "T03"), ("softwareengineer", "T02"), ("test", ""), ("Tests Manager", "T04"), ("people, head of", "T05"),
+        ("form planner", "T08"), ("from planner", "T09"), ("chief executive oficer for regional developmnt of northern industrial harbours and bridges", "T10"), ("the old town guide", "T11"),
+        ("bridges and harbours industrial northern of development regional for officer executive chief", "T10"), ("tbd", ""), ("x" * 3000, ""),
+    ]
+    df = spark.createDataFrame([(f"e{n:02d}", t, None, None) for n, (t, _) in enumerate(exact + typed)], ENTITY)
+    for bound in (100_000, 0):
+        got = {r.entity_id: r.catalog_id for r in canonical.map_to_list(df, catalog, catalog_bound=bound).collect()}
+        assert {t: got[f"e{n:02d}"] for n, (t, _) in enumerate(exact + typed)} == dict(exact + typed)
+
+
+def test_words_that_mark_a_kind_are_learned(spark):
+    names = [(f"E{n}", "route", 0, f"{'PUT' if n % 2 else 'GET'} /a{n}/b") for n in range(30)] + [(f"R{n}", "rule", 0, f"late a{n}" if n % 2 else f"a{n} late") for n in range(30)]
+    got = canonical.learned(spark.createDataFrame(names, "id string, kind string, pos int, value string"), canonical.Vocabulary())
+    assert got.markers == {"put": "route", "get": "route"} and got.kinds == {"route": "route", "rule": "rule"}
+
+
+def test_alignment_reads_any_number_of_words():
+    words = [f"word{c}{c}x" for c in "abcdefghijklmnop"]
+    assert canonical.align(words, words, frozenset()) == 0.0
+    assert canonical.align(words[::-1], words, frozenset()) == pytest.approx(0.05)
+    assert canonical.align([words[0][:-1] + "q", *words[1:]], words, frozenset()) == pytest.approx(0.3)
+    assert canonical.align(words[1:], words, frozenset()) is None
+    assert canonical.align(["form", "planner"], ["from", "planner"], frozenset({"form", "from", "planner"})) is None
+
+
 def test_token_ids_equal_a_public_tokenizer(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
