@@ -221,6 +221,8 @@ def _split(leaves: DataFrame, scratch: Scratch, block: int, pivots: int = 65_536
         if not table.value:
             return leaves
 
+        only = F.broadcast(chosen.select("grp", "leaf"))
+
         def work(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 grp, leaf, codes = (batch.column(c).to_pylist() for c in ("grp", "leaf", "code"))
@@ -235,10 +237,8 @@ def _split(leaves: DataFrame, scratch: Scratch, block: int, pivots: int = 65_536
                 columns = [pa.array(leaf, pa.int64()) if c == "leaf" else batch.column(c) for c in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-        split = scratch.save(leaves.mapInArrow(work, leaves.schema), "leaves")
-        if last is not None:
-            scratch.drop(leaves)
-        last, leaves = sizes, split
+        split = scratch.save(leaves.join(only, ["grp", "leaf"], "left_semi").mapInArrow(work, leaves.schema), "leaves")
+        last, leaves = sizes, leaves.join(only, ["grp", "leaf"], "left_anti").unionByName(split)
 
 
 def _top(edges: DataFrame, k: int, by: tuple[str, ...] = ("u",), to: str = "v", keep: tuple[str, ...] = ()) -> DataFrame:
