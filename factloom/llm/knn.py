@@ -22,8 +22,8 @@ from factloom.session import spread
 
 #: Equal similarity means equal after rounding to this many digits.
 DIGITS = 6
-#: Tables of candidate pairs up to this many rows are broadcast; larger ones are joined by shuffles.
-BROADCAST_PAIRS = 20_000
+#: Candidate pairs are broadcast to the vectors where they are at most this many and at most this share of them; else both are shuffled.
+BROADCAST_PAIRS, BROADCAST_SHARE = 20_000, 0.05
 #: Query vectors of up to this many bytes of codes are broadcast to the vectors they are compared with.
 BROADCAST_CODES = 8_000_000
 
@@ -306,7 +306,8 @@ def _descend(coded: DataFrame, graph: DataFrame, scratch: Scratch, k: int, floor
     count = fresh.count()
     if not count:
         return None
-    scored = score(fresh, coded, count <= BROADCAST_PAIRS).where(F.col("sim") >= floor)
+    few = count <= BROADCAST_PAIRS and count <= BROADCAST_SHARE * coded.count()
+    scored = score(fresh, coded, few).where(F.col("sim") >= floor)
     better = scratch.save(scored.select(F.col("a").alias("u"), F.col("b").alias("v"), "sim"), "better")
     return None if better.isEmpty() else better
 
