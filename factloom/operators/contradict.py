@@ -3,52 +3,87 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import identity, norm
 
 
-def claim_contradictions(facts: DataFrame) -> DataFrame:
-    """Pairs of unexpired facts of one entity and attribute with compatible units, different values and overlapping periods.
+_LAST = 2**62
 
-    ``id, a, b, winner, opened_us``; a < b. Winner: tier, then later start, then later storing (b on a tie). A missing unit is
-    compatible with any. An equi-join on the claim key with the rest as residual conditions; the output is the pairs themselves,
-    so it is meant for keys of moderate size (:func:`factloom.operators.history.versions` first folds repeats into versions).
+
+def _held(facts: DataFrame) -> DataFrame:
+    """Per entity, attribute, value and unit: the unbroken times it was held (``start, stop``), from the facts' periods; repeats are folded before anything is sorted."""
+    key = ["entity", "attribute", "value", "unit"]
+    ends = facts.groupBy(*key, F.coalesce("valid_us", F.lit(-_LAST)).alias("start")).agg(F.max(F.coalesce("invalid_us", F.lit(_LAST))).alias("stop"))
+    w = W.partitionBy(*key).orderBy("start")
+    before = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = ends.where("stop > start").withColumn("fresh", F.when(before >= F.col("start"), 0).otherwise(1))
+    marked = marked.withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return marked.groupBy(*key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+
+
+def claim_contradictions(facts: DataFrame, slices: int = 32) -> DataFrame:
+    """Pairs of different values of one entity and attribute with compatible units that were held at one time: ``id, a, b, winner, opened_us, entity, attribute``.
+
+    ``facts`` has ``id, entity, attribute, value, unit, tier, valid_us, invalid_us, created_us, expired_us``; expired ones and those without a value do not count.
+    Facts of one value and unit are a class, named by its smallest id: a and b are such names, a < b, and :func:`claim_classes` has the members.
+    A missing unit is compatible with any, a missing start is the beginning of time, a missing end is open. Winner: tier, then later
+    start, then later storing (b on a tie), of each class's best fact. ``opened_us`` is when the two values first were held together.
+
+    What is compared is never facts but the unbroken times of values, and these only within slices of time: a key's times are cut at up to
+    ``slices`` quantiles of their starts, and a long one is seen once in every slice that it covers. So a key with a third of all facts costs
+    what its values and their changes cost, and its slices are apart.
     """
-    base = facts.where("expired_us IS NULL").select("id", "entity", "attribute", "num", "unit", "tier", "valid_us", "invalid_us", "created_us")
-    a = base.select(F.col("id").alias("a"), "entity", "attribute", *[F.col(c).alias(f"a_{c}") for c in base.columns[3:]])
-    b = base.select(F.col("id").alias("b"), "entity", "attribute", *[F.col(c).alias(f"b_{c}") for c in base.columns[3:]])
+    live = facts.where("expired_us IS NULL AND value IS NOT NULL")
+    key = ["entity", "attribute"]
+    rank = F.struct(norm.tier_rank("tier").alias("rank"), F.coalesce("valid_us", F.lit(-_LAST)).alias("v"), F.coalesce("created_us", F.lit(-_LAST)).alias("c"))
+    classes = live.groupBy(*key, "value", "unit").agg(F.min("id").alias("name"), F.max(rank).alias("best"))
+    held = _held(live)
+    cuts = held.groupBy(*key).agg(F.percentile_approx("start", [n / slices for n in range(1, slices)], 200).alias("cuts"))
+    several = held.groupBy(*key).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*key)
+    slice_ = lambda t: F.size(F.filter("cuts", lambda c: c <= t))
+    held = held.join(several, key).join(cuts, key)
+    held = held.select(*key, "value", "unit", "start", "stop", F.explode(F.sequence(slice_(F.col("start")), slice_(F.col("stop") - 1))).alias("slice"))
+    a = held.select(*key, "slice", *[F.col(c).alias(f"a_{c}") for c in ("value", "unit", "start", "stop")])
+    b = held.select(*key, "slice", *[F.col(c).alias(f"b_{c}") for c in ("value", "unit", "start", "stop")])
+    met = a.join(b, [*key, "slice"]).where("a_value < b_value AND (a_unit IS NULL OR b_unit IS NULL OR a_unit = b_unit) AND a_start < b_stop AND b_start < a_stop")
+    met = met.groupBy(*key, "a_value", "a_unit", "b_value", "b_unit").agg(F.min(F.greatest("a_start", "b_start")).alias("opened_us"))
+    named = met
+    for side in "ab":
+        mine = classes.select(*key, F.col("value").alias(f"{side}_value"), F.col("unit").alias("u"), F.col("name").alias(f"{side}_name"), F.col("best").alias(f"{side}_best"))
+        named = named.join(mine, [*key, f"{side}_value"]).where(F.col(f"{side}_unit").eqNullSafe(F.col("u"))).drop("u")
     c = F.col
-    pairs = a.join(b, ["entity", "attribute"]).where(
-        (c("a") < c("b"))
-        & (c("a_unit").isNull() | c("b_unit").isNull() | (c("a_unit") == c("b_unit")))
-        & (c("a_num") != c("b_num"))
-        & norm.overlap(c("a_valid_us"), c("a_invalid_us"), c("b_valid_us"), c("b_invalid_us"))
-    )
-    ra, rb = norm.tier_rank("a_tier"), norm.tier_rank("b_tier")
-    winner = (
-        F.when(ra != rb, F.when(ra > rb, c("a")).otherwise(c("b")))
-        .when(norm.later(c("a_valid_us"), c("b_valid_us")), c("a"))
-        .when(norm.later(c("b_valid_us"), c("a_valid_us")), c("b"))
-        .when(norm.later(c("a_created_us"), c("b_created_us")), c("a"))
-        .otherwise(c("b"))
-    )
-    return pairs.select(
-        identity.contradiction_id(c("a"), c("b")).alias("id"), "a", "b", winner.alias("winner"),
-        F.greatest("a_valid_us", "b_valid_us").alias("opened_us"), "entity", "attribute",
+    swap = c("a_name") > c("b_name")
+    named = named.select(
+        *key, "opened_us", F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b"),
+        F.when(swap, c("b_best")).otherwise(c("a_best")).alias("x"), F.when(swap, c("a_best")).otherwise(c("b_best")).alias("y"),
     )
+    opened = F.when(c("opened_us") > -_LAST, c("opened_us"))
+    return named.select(identity.contradiction_id(c("a"), c("b")).alias("id"), "a", "b", F.when(c("x") > c("y"), c("a")).otherwise(c("b")).alias("winner"), opened.alias("opened_us"), *key)
+
+
+def claim_classes(facts: DataFrame) -> DataFrame:
+    """``id, class``: every unexpired fact with a value, and the name (smallest id) of those of its entity, attribute, value and unit."""
+    live = facts.where("expired_us IS NULL AND value IS NOT NULL").select("id", "entity", "attribute", "value", F.coalesce("unit", F.lit("")).alias("unit"))
+    names = live.groupBy("entity", "attribute", "value", "unit").agg(F.min("id").alias("class"))
+    return live.join(names, ["entity", "attribute", "value", "unit"]).select("id", "class")
 
 
 def stale_claims(facts: DataFrame) -> DataFrame:
     """Open documented facts that a connector fact of the same key contradicts from later on: ``id, because, changed_us``.
 
-    Of several such facts the smallest id counts. The comparison is reduced to one row per documented fact by a map-side minimum.
+    Of several such facts the latest counts, then the smallest id. Connector facts are first reduced to the latest of each value and unit, so a
+    page is compared with the values of its key and not with their facts.
     """
-    opened = facts.where("invalid_us IS NULL AND expired_us IS NULL")
-    d = opened.where("tier = 'documented'").select("id", "entity", "attribute", F.col("num").alias("n"), F.col("unit").alias("u"), F.col("valid_us").alias("v"))
-    k = opened.where(F.col("tier").isin(*norm.CONNECTOR_TIERS)).select(F.col("id").alias("because"), "entity", "attribute", "num", "unit", "valid_us")
-    hit = d.join(k, ["entity", "attribute"]).where("(u IS NULL OR unit IS NULL OR u = unit) AND n <> num").where(norm.later(F.col("valid_us"), F.col("v")))
-    return hit.groupBy("id").agg(F.min(F.struct("because", "valid_us")).alias("m")).select("id", "m.because", F.col("m.valid_us").alias("changed_us"))
+    opened = facts.where("invalid_us IS NULL AND expired_us IS NULL AND value IS NOT NULL")
+    d = opened.where("tier = 'documented'").select("id", "entity", "attribute", F.col("value").alias("n"), F.col("unit").alias("u"), F.col("valid_us").alias("v"))
+    k = opened.where(F.col("tier").isin(*norm.CONNECTOR_TIERS) & F.col("valid_us").isNotNull()).groupBy("entity", "attribute", "value", "unit", "valid_us").agg(F.min("id").alias("because"))
+    k = k.groupBy("entity", "attribute", "value", "unit").agg(F.max(F.struct("valid_us", "because")).alias("k"))
+    hit = d.join(k, ["entity", "attribute"]).where("(u IS NULL OR unit IS NULL OR u = unit) AND n <> value").where(norm.later(F.col("k.valid_us"), F.col("v")))
+    last = hit.groupBy("id").agg(F.max("k.valid_us").alias("changed_us"), F.collect_set("k").alias("ks"))
+    because = F.array_min(F.transform(F.filter("ks", lambda k: k["valid_us"] == F.col("changed_us")), lambda k: k["because"]))
+    return last.select("id", because.alias("because"), "changed_us")
 
 
 def stale_pages(documented: DataFrame, code: DataFrame) -> DataFrame:

@@ -34,10 +34,10 @@ def citing(facts: DataFrame, documents: DataFrame, key: str = "document_id") ->
 def rank_within(facts: DataFrame, key: str, k: int, valid: str = "valid_at") -> DataFrame:
     """The ``k`` first facts of every key by tier, then the later start (missing last), then id, with their ``rank``.
 
-    The window limit is applied before the shuffle too, so a hot key sends k rows per task.
+    The window limit is applied before the shuffle too, so a hot key sends k rows per task; a row delivered twice has one rank.
     """
     order = W.partitionBy(key).orderBy(norm.tier_rank("tier").desc(), F.col(valid).desc_nulls_last(), "id")
-    return facts.where(F.col(key).isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return facts.where(F.col(key).isNotNull()).withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).distinct()
 
 
 def page(facts: DataFrame, offset: int = 0, limit: int = 20, valid: str = "valid_at") -> DataFrame:
@@ -96,14 +96,13 @@ def superseded(edges: DataFrame) -> DataFrame:
     return real.groupBy("old").agg(F.min("at").alias("invalid_us"), F.min(F.struct("at", "new")).alias("m")).select("old", "invalid_us", F.col("m.new").alias("superseded_by"))
 
 
-def closed_by_conflict(facts: DataFrame) -> DataFrame:
-    """``id, superseded_by, closed_us``: every fact (``id, entity, attribute, num, valid_us``) with the first later start of its key that has another
+def closed_by_conflict(facts: DataFrame, key: list[str]) -> DataFrame:
+    """``id, superseded_by, closed_us``: every fact (``id, value, valid_us`` and the columns of ``key``) with the first later start of its key that has another
     value, and the smallest id with another value there. Starts of equal single value form islands, so nothing is compared in pairs.
     """
-    key = ["entity", "attribute"]
-    rows = facts.where("num IS NOT NULL AND valid_us IS NOT NULL").select("id", *key, "num", "valid_us")
+    rows = facts.where("value IS NOT NULL AND valid_us IS NOT NULL").select("id", *key, "value", "valid_us")
     w = W.partitionBy(*key).orderBy("valid_us")
-    starts = rows.groupBy(*key, "valid_us").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
+    starts = rows.groupBy(*key, "valid_us").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     same = (F.col("lo") == F.col("hi")) & (F.lag("lo").over(w) == F.col("lo")) & (F.lag("hi").over(w) == F.col("lo"))
     starts = starts.withColumn("first", F.when(~F.coalesce(same, F.lit(False)), F.col("valid_us")))
     after = F.min("first").over(w.rowsBetween(1, W.unboundedFollowing))
@@ -111,8 +110,8 @@ def closed_by_conflict(facts: DataFrame) -> DataFrame:
     starts = starts.withColumn("after", after)
     ahead = [F.lead(c).over(w).alias(f"next_{c}") for c in ("valid_us", "lo", "hi", "after")]
     open_ = rows.join(starts.select(*key, "valid_us", *ahead), [*key, "valid_us"])
-    repeats = (F.col("next_lo") == F.col("num")) & (F.col("next_hi") == F.col("num"))
+    repeats = (F.col("next_lo") == F.col("value")) & (F.col("next_hi") == F.col("value"))
     open_ = open_.withColumn("closed_us", F.when(repeats, F.col("next_after")).otherwise(F.col("next_valid_us"))).where("closed_us IS NOT NULL")
-    least = rows.groupBy(*key, F.col("valid_us").alias("closed_us"), F.col("num").alias("other")).agg(F.min("id").alias("by"))
-    hit = open_.select("id", *key, "num", "closed_us").join(least, [*key, "closed_us"]).where("other <> num")
+    least = rows.groupBy(*key, F.col("valid_us").alias("closed_us"), F.col("value").alias("other")).agg(F.min("id").alias("by"))
+    hit = open_.select("id", *key, "value", "closed_us").join(least, [*key, "closed_us"]).where("other <> value")
     return hit.groupBy("id", "closed_us").agg(F.min("by").alias("superseded_by")).select("id", "superseded_by", "closed_us")

@@ -44,12 +44,11 @@ def changed_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def constant_change_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Constants (part sizes seen per year) whose text differs between two steps."""
-    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    seen = li.select("l_partkey", "l_quantity", (F.year("l_shipdate") - 1995).cast("int").alias("step")).join(p, "l_partkey")
-    const = seen.groupBy("p_brand", "step").agg(F.max("l_quantity").cast("int").alias("value"), F.count("*").alias("uses"))
-    a, b = const.where("step = 1"), const.where("step = 4")
-    both = a.select("p_brand", F.col("uses").alias("before")).join(b.select("p_brand", F.col("uses").alias("after")), "p_brand", "full_outer")
+    """Constants (here the prices asked for a part in a year, as text) whose text differs between two steps or that only one step has."""
+    li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("name"), "l_discount", "l_quantity", (F.year("l_shipdate") - 1995).cast("int").alias("step")).where("step IN (1, 4)")
+    text = F.concat_ws("@", F.max(F.struct("l_quantity", "l_discount"))["l_quantity"].cast("int").cast("string"), F.round(F.max(F.struct("l_quantity", "l_discount"))["l_discount"] * 100).cast("int").cast("string"))
+    const = li.groupBy("name", "step").agg(text.alias("value"))
+    both = const.groupBy("name").agg(F.max(F.when(F.col("step") == 1, F.col("value"))).alias("before"), F.max(F.when(F.col("step") == 4, F.col("value"))).alias("after"))
     return both.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
@@ -101,7 +100,7 @@ def rerun_failed(spark: SparkSession, sf: str) -> DataFrame:
 def documents_changed(spark: SparkSession, sf: str) -> DataFrame:
     """Registrations that differ in version or hash from the registration of the document before."""
     w = W.partitionBy("id").orderBy("ingested_at", "reg_id")
-    rows = registry(spark, sf).select("reg_id", "id", "version", "content_hash", "ingested_at")
+    rows = registry(spark, sf, "id", "version", "content_hash", "ingested_at")
     known = rows.withColumns({"n": F.row_number().over(w), "v": F.lag("version").over(w), "h": F.lag("content_hash").over(w)})
     changed = (F.col("n") == 1) | ~F.col("v").eqNullSafe(F.col("version")) | ~F.col("h").eqNullSafe(F.col("content_hash"))
     return known.where(changed).select("reg_id", "id")
@@ -110,13 +109,13 @@ def documents_changed(spark: SparkSession, sf: str) -> DataFrame:
 def documents_pending(spark: SparkSession, sf: str) -> DataFrame:
     """Registered documents that no stored fact cites."""
     cited = table(spark, sf, "stored_fact").where("document_id IS NOT NULL").select(F.col("document_id").alias("id")).distinct()
-    return registry(spark, sf).select("id").distinct().join(cited, "id", "left_anti")
+    return registry(spark, sf, "id", once=False).select("id").distinct().join(cited, "id", "left_anti")
 
 
 def document_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The current row of every document after all registrations: the latest one, with the first title seen kept if it has none."""
     at = F.struct("ingested_at", "reg_id")
-    latest = registry(spark, sf).groupBy("id").agg(
+    latest = registry(spark, sf, "id", "ingested_at", "version", "visibility", "title", once=False).groupBy("id").agg(
         F.max(F.struct("ingested_at", "reg_id", "version", "visibility")).alias("m"), F.min(F.when(F.col("title").isNotNull(), F.struct(at.alias("at"), "title"))).alias("t")
     )
     return latest.select("id", "m.reg_id", "m.version", "m.visibility", F.col("t.title").alias("title"))
@@ -159,8 +158,9 @@ ORACLE = {
     "last_change": f"""WITH f AS (SELECT path, step, blob, CASE WHEN row_number() OVER w = 1 OR lag(blob) OVER w IS DISTINCT FROM blob THEN step END c FROM {_STATES} WINDOW w AS (PARTITION BY path ORDER BY step))
       SELECT path, step, blob, max(c) OVER (PARTITION BY path ORDER BY step) changed_step FROM f""",
     "changed_paths": f"SELECT coalesce(a.path, b.path) path, a.blob AS \"before\", b.blob AS \"after\" FROM (SELECT * FROM {_STATES} WHERE step = 2) a FULL OUTER JOIN (SELECT * FROM {_STATES} WHERE step = 5) b ON a.path = b.path WHERE a.blob IS DISTINCT FROM b.blob",
-    "constant_change_diff": """WITH c AS (SELECT p_brand, CAST(year(l_shipdate) - 1995 AS INTEGER) step, count(*) uses FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
-      SELECT coalesce(a.p_brand, b.p_brand) p_brand, a.uses AS "before", b.uses AS "after" FROM (SELECT * FROM c WHERE step = 1) a FULL OUTER JOIN (SELECT * FROM c WHERE step = 4) b ON a.p_brand = b.p_brand WHERE a.uses IS DISTINCT FROM b.uses""",
+    "constant_change_diff": """WITH c AS (SELECT l_partkey n, CAST(year(l_shipdate) - 1995 AS INTEGER) step, max(row(l_quantity, l_discount)) m FROM lineitem GROUP BY 1, 2),
+      v AS (SELECT n, step, CAST(CAST(m[1] AS INTEGER) AS VARCHAR) || '@' || CAST(CAST(round(m[2] * 100) AS INTEGER) AS VARCHAR) v FROM c)
+      SELECT coalesce(a.n, b.n) AS "name", a.v AS "before", b.v AS "after" FROM (SELECT * FROM v WHERE step = 1) a FULL OUTER JOIN (SELECT * FROM v WHERE step = 4) b ON a.n = b.n WHERE a.v IS DISTINCT FROM b.v""",
     "run_flaky": f"SELECT node, step FROM {_BY_STEP} WHERE flaky",
     "run_latest_attempt": f"SELECT node, step, outcome FROM {_BY_STEP}",
     "demotion_state": f"""WITH v AS (SELECT node, step, CASE WHEN NOT flaky AND outcome IN ('passed', 'failed') THEN outcome END verdict FROM {_BY_STEP}),

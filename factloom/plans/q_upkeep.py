@@ -16,7 +16,7 @@ def excluded_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Code documents per top directory, those under directories of no interest left out."""
     skip = F.array(*[F.lit(x) for x in ("return", "sender", "shelf")])
     parts = F.split("id", "/")
-    rows = registry(spark, sf).where("kind = 'code'").where(~F.arrays_overlap(parts, skip))
+    rows = registry(spark, sf, "id", "kind", once=False).where("kind = 'code'").where(~F.arrays_overlap(parts, skip))
     return rows.groupBy(parts[1].alias("directory")).agg(F.countDistinct("id").alias("n_paths"))
 
 
@@ -30,20 +30,20 @@ def step_of_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 def known_context(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct claims that an extractor is shown: entity, attribute and unit, without expired facts."""
-    rows = stored(spark, sf, "claim_entity", "claim_attribute", "claim_unit", "expired_at").where("claim_entity IS NOT NULL AND claim_attribute IS NOT NULL AND expired_at IS NULL")
+    rows = stored(spark, sf, "claim_entity", "claim_attribute", "claim_unit", "expired_at", once=False).where("claim_entity IS NOT NULL AND claim_attribute IS NOT NULL AND expired_at IS NULL")
     return rows.select(F.col("claim_entity").alias("entity"), norm.attribute(F.col("claim_attribute")).alias("attribute"), norm.unit(F.col("claim_unit")).alias("unit")).distinct()
 
 
 def implicit_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that are cited or hold text but were never registered, with their source."""
     cited = table(spark, sf, "stored_fact").select(F.col("document_id").alias("id")).unionByName(table(spark, sf, "documents").select(F.col("document_id").alias("id")))
-    new = cited.where("id IS NOT NULL").distinct().join(registry(spark, sf).select("id"), "id", "left_anti")
+    new = cited.where("id IS NOT NULL").distinct().join(registry(spark, sf, "id", once=False).select("id"), "id", "left_anti")
     return new.select("id", norm.source_of(F.col("id")).alias("source"))
 
 
 def retracted_citations(spark: SparkSession, sf: str) -> DataFrame:
     """Base facts after every citation of a ticket is retracted: how many documents are left; without any the fact expires."""
-    rows = stored(spark, sf, "base_id", "document_id").where("base_id IS NOT NULL AND document_id IS NOT NULL")
+    rows = stored(spark, sf, "base_id", "document_id", once=False).where("base_id IS NOT NULL AND document_id IS NOT NULL")
     left = F.countDistinct(F.when(~F.col("document_id").startswith("ticket/"), F.col("document_id")))
     return rows.groupBy("base_id").agg(left.alias("n_left")).withColumn("expires", F.col("n_left") == 0)
 
@@ -97,7 +97,7 @@ def pair_either_order(spark: SparkSession, sf: str) -> DataFrame:
 
 def prior_version_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Claims of each document in its first and second half of observations: restated, retracted or new."""
-    rows = stored(spark, sf, "document_id", "base_id", "created_at").where("document_id IS NOT NULL AND base_id IS NOT NULL AND created_at IS NOT NULL")
+    rows = stored(spark, sf, "document_id", "base_id", "created_at", once=False).where("document_id IS NOT NULL AND base_id IS NOT NULL AND created_at IS NOT NULL")
     late = F.col("created_at") >= F.lit("2025-06-01 00:00:00").cast("timestamp_ntz")
     sides = rows.groupBy("document_id", "base_id").agg(F.max(late).alias("now"), F.max(~late).alias("before"))
     state = F.when(F.col("now") & F.col("before"), "restated").when(F.col("now"), "new").otherwise("retracted")
@@ -153,8 +153,8 @@ def term_contradictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def recency(spark: SparkSession, sf: str) -> DataFrame:
     """The latest registration among the documents of every base fact."""
-    seen = registry(spark, sf).groupBy("id").agg(F.max("ingested_at").alias("at")).withColumnRenamed("id", "document_id")
-    rows = stored(spark, sf, "base_id", "document_id").where("base_id IS NOT NULL AND document_id IS NOT NULL")
+    seen = registry(spark, sf, "id", "ingested_at", once=False).groupBy("id").agg(F.max("ingested_at").alias("at")).withColumnRenamed("id", "document_id")
+    rows = stored(spark, sf, "base_id", "document_id", once=False).where("base_id IS NOT NULL AND document_id IS NOT NULL")
     return rows.join(seen, "document_id").groupBy("base_id").agg(F.max(F.unix_micros(F.col("at").cast("timestamp"))).alias("latest_us"))
 
 

@@ -34,22 +34,32 @@ def test_identity(spark):
     assert one(spark, identity.contradiction_id(F.lit("p"), F.lit("q"))) == one(spark, identity.contradiction_id(F.lit("q"), F.lit("p")))
 
 
-FACT = "id string, entity string, attribute string, num int, unit string, tier string, valid_us bigint, invalid_us bigint, created_us bigint, expired_us bigint"
+FACT = "id string, entity string, attribute string, value string, unit string, tier string, valid_us bigint, invalid_us bigint, created_us bigint, expired_us bigint"
 
 
 def test_contradictions_and_staleness(spark):
     rows = [
-        ("a", "e", "x", 25, "day", "code", 10, 30, 11, None), ("b", "e", "x", 30, None, "documented", 20, None, 21, None), ("c", "e", "x", 30, "day", "code", 30, None, 31, None),
-        ("d", "e", "x", 25, "usd", "code", 10, None, 11, None), ("f", "e", "x", 99, "day", "code", 10, None, 11, 12), ("g", None, "x", 1, None, "code", 10, None, 11, None),
+        ("a", "e", "x", "25", "day", "code", 10, 30, 11, None), ("b", "e", "x", "30", None, "documented", 20, None, 21, None), ("c", "e", "x", "30", "day", "code", 30, None, 31, None),
+        ("d", "e", "x", "25", "usd", "code", 10, None, 11, None), ("f", "e", "x", "99", "day", "code", 10, None, 11, 12), ("g", None, "x", "1", None, "code", 10, None, 11, None),
+        ("k", "e", "x", "half up", "day", "documented", None, 15, 11, None), ("l", "e", "x", None, None, "code", 10, None, 11, None), ("m", "e", "x", "30", None, "code", 25, 40, 50, None),
     ]
     df = spark.createDataFrame(rows, FACT)
-    got = {(r.a, r.b): (r.winner, r.opened_us) for r in contradict.claim_contradictions(df).collect()}
-    assert got == {("a", "b"): ("a", 20), ("b", "d"): ("d", 20)}  # a and c only touch; d has another unit than a and c; f is expired
-    stale = df.unionByName(spark.createDataFrame([("h", "e", "x", 25, None, "documented", 5, None, 6, None)], FACT))
-    assert {(r.id, r.because) for r in contradict.stale_claims(stale).collect()} == {("h", "c")}
+    for slices in (32, 2):
+        got = {(r.a, r.b): (r.winner, r.opened_us) for r in contradict.claim_contradictions(df, slices).collect()}
+        # a and c only touch; d has another unit than a and c; f is expired; b stands for m too
+        assert got == {("a", "b"): ("b", 20), ("b", "d"): ("b", 20), ("a", "k"): ("a", 10)}
+    assert {tuple(r) for r in contradict.claim_classes(df).collect()} >= {("m", "b"), ("b", "b"), ("c", "c")}
+    stale = df.unionByName(spark.createDataFrame([("h", "e", "x", "25", None, "documented", 5, None, 6, None)], FACT))
+    assert {tuple(r) for r in contradict.stale_claims(stale).collect()} == {("h", "c", 30), ("b", "d", 10)} - {("b", "d", 10)}
     assert contradict.claim_contradictions(df.where("false")).count() == 0
 
 
+def test_a_hot_key_costs_its_values(spark):
+    rows = [(f"f{n:05d}", "e", "x", str(n % 3), None, "code", n, n + 1, n, None) for n in range(3000)] + [("z", "e", "x", "9", None, "code", 0, 5000, 0, None)]
+    got = {(r.a, r.b): r.opened_us for r in contradict.claim_contradictions(spark.createDataFrame(rows, FACT)).collect()}
+    assert got == {(f"f0000{n}", "z"): n for n in range(3)}
+
+
 def test_merge_tiers(spark):
     row = lambda i, tier, key, conf=None: (i, "b", dt(2025, 1, int(i)), tier, dt(2025, 2, int(i)), conf, f"d/{i}", key, "clash")
     schema = "id string, base_id string, created_at timestamp_ntz, tier string, valid_at timestamp_ntz, confidence float, document_id string, source_key string, n string"
@@ -127,6 +137,6 @@ def test_a_repeated_value_does_not_keep_facts_open(spark):
     from factloom.operators import facts
 
     rows = [("a", 5, 1), ("b", 5, 2), ("c", 7, 3), ("d", 5, 3), ("e", 5, 4), ("f", 6, 5), ("g", 6, 5)]
-    df = spark.createDataFrame([(i, "x", "y", n, v) for i, n, v in rows], "id string, entity string, attribute string, num int, valid_us long")
-    got = {tuple(r) for r in facts.closed_by_conflict(df).collect()}
+    df = spark.createDataFrame([(i, "x", "y", str(n), v) for i, n, v in rows], "id string, entity string, attribute string, value string, valid_us long")
+    got = {tuple(r) for r in facts.closed_by_conflict(df, ["entity", "attribute"]).collect()}
     assert got == {("a", "c", 3), ("b", "c", 3), ("c", "e", 4), ("d", "f", 5), ("e", "f", 5)}

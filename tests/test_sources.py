@@ -2,12 +2,10 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from factloom.scratch import Scratch
-from factloom.sources import documents, reports, skeletons
-from factloom.sources.store import Store
+from factloom.sources import documents, reports
 from factloom.streaming import incremental
 
 
@@ -55,42 +53,6 @@ def test_reports(spark, tmp_path):
     assert {tuple(r) for r in reports.cross_check(a, b).collect()} == {("x", "collected"), ("z", "reported")}
 
 
-PY = '''
-import pytest
-from app.rules import LIMIT
-
-@pytest.mark.unit
-def test_limit():
-    """The limit holds."""
-    assert check(LIMIT) == 5
-
-@pytest.mark.parametrize("a,b", [(1, "x"), (2, "y")])
-def test_cases(a, b, fixture):
-    assert a
-'''
-TS = 'import { x } from "./x";\ndescribe("outer", () => {\n  it("does", () => {\n    expect(run(MAX_SIZE)).toBe(3);\n  });\n});\n'
-
-
-def test_skeletons(spark):
-    files = spark.createDataFrame([("t/test_a.py", PY), ("b.spec.ts", TS), ("bad.py", "def ("), ("n.py", None), ("x.md", "# x")], "path string, source string")
-    got = {r.node_id: r for r in skeletons.collect(files).collect()}
-    assert set(got) == {"t/test_a.py::test_limit", "t/test_a.py::test_cases[1-x]", "t/test_a.py::test_cases[2-y]", "outer > does"}
-    one = got["t/test_a.py::test_limit"]
-    assert (one.docstring, one.markers, one.constants, one.asserts) == ("The limit holds.", ["unit"], ["LIMIT"], ["check(LIMIT) == 5"])
-    assert got["t/test_a.py::test_cases[1-x]"].fixtures == ["a", "b", "fixture"] and got["outer > does"].constants == ["MAX_SIZE"]
-
-
-def test_store(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/store")
-    rows = lambda *r: spark.createDataFrame(list(r), "id string, v int")
-    with pytest.raises(FileNotFoundError):
-        store.read("t")
-    store.upsert("t", rows(("a", 1), ("b", 2), ("b", 2)), ["id"])
-    store.upsert("t", rows(("b", 5), ("c", 3)), ["id"])
-    assert {tuple(r) for r in store.read("t").collect()} == {("a", 1), ("b", 5), ("c", 3)}
-    assert {tuple(r) for r in store.read("t", 1).collect()} == {("a", 1), ("b", 2)} and store.version("t") == 2
-
-
 def test_streams(spark, tmp_path):
     from datetime import datetime as dt
 
