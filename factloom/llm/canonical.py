@@ -115,11 +115,13 @@ def word_cost(word: str, meant: str) -> float | None:
         return 0.2
     if len(word) >= 3 and meant.startswith(word):
         return 0.2 + 0.02 * (len(meant) - len(word))
-    edits = distance(word, meant) if abs(len(word) - len(meant)) <= 2 else 9
+    # An edit takes away one letter and brings in another at most.
+    near = abs(len(word) - len(meant)) <= 2 and len({*word} ^ {*meant}) <= 4
+    edits = distance(word, meant) if near else 9
     if edits <= (0 if min(len(word), len(meant)) < 4 else 1 if len(meant) < 6 else 2) and not _other_ending(word, meant, edits):
         return 0.3 * edits
     # A plural form with one slip.
-    if word.endswith("s") and len(meant) >= 6 and distance(word[:-1], meant) <= 1:
+    if word.endswith("s") and len(meant) >= 6 and near and distance(word[:-1], meant) <= 1:
         return 0.4
     return None
 
@@ -152,7 +154,10 @@ def align(words: list[str], meant: list[str], lexicon: frozenset[str] | set[str]
     ``lexicon`` has the words of the list that occur in the joined words: those mean just themselves. Names of any number of words
     are read: only words that can be read as one another are ever paired.
     """
-    known = segmented("".join(words), lexicon)
+    return _aligned_with(words, segmented("".join(words), lexicon), meant, lexicon, max_cost)
+
+
+def _aligned_with(words: list[str], known: list[str] | None, meant: list[str], lexicon: frozenset[str] | set[str], max_cost: float) -> float | None:
     if known is not None:
         return (0.0 if known == meant else 0.05) if sorted(known) == sorted(meant) else None
     cost = lambda w, m: 0.0 if w == m else None if w in lexicon else word_cost(w, m)
@@ -194,6 +199,8 @@ def _joined(joined: str, meant: list[str], cost, limit: float) -> float | None:
     """Least cost of reading a string as the meant words written together or apart elsewhere, in any order."""
     if not meant or abs(len(joined) - sum(map(len, meant))) > 2 * len(meant) and len(meant) > 1:
         return None
+    if len({*joined} ^ {c for m in meant for c in m}) > 4 * len(meant) and len(meant) > 1:  # more letters come or go than two edits a word bring about
+        return None
     if len(meant) == 1:
         alone = cost(joined, meant[0])
         return None if alone is None or alone + 0.1 > limit else alone + 0.1
@@ -356,7 +363,7 @@ def _retrieved(asked: DataFrame, listed: DataFrame, total: int, threshold: float
     norms = weighted.groupBy("c").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     posts = weighted.join(norms, "c").select("gram", "c", (F.col("x") * F.col("w") / F.col("norm")).cast("float").alias("share"))
     # Grams stay with their value, so with a broadcast list the products are summed where they arise.
-    mine = asked.repartition("k").select("k", F.inline(_counted(F.col("key"))))
+    mine = asked.select("k", _counted(F.col("key")).alias("grams")).repartition("k").select("k", F.inline("grams"))
     rare = math.log(total + 1.0)
     lengths = mine.join(near(df), "gram", "left").groupBy("k").agg(F.sqrt(F.sum(F.pow(F.col("count") * F.coalesce("w", F.lit(rare)), 2))).alias("length"))
     dots = mine.join(near(posts), "gram").groupBy("k", "c").agg(F.sum(F.col("count") * F.col("share")).alias("dot"))
@@ -386,8 +393,17 @@ def _aligned(pairs: DataFrame, max_cost: float) -> DataFrame:
     """The pairs of value and list key whose words align, with the cost."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values: dict[str, tuple] = {}
         for frame in frames:
-            costs = [align(k.split(" "), c.split(" "), frozenset(s), max_cost) for k, c, s in zip(frame["key"], frame["cand"], frame["spoken"])]
+            costs = []
+            for key, cand, spoken in zip(frame["key"], frame["cand"], frame["spoken"]):
+                if key not in values:
+                    if len(values) > 50_000:
+                        values.clear()
+                    lexicon = frozenset(spoken)
+                    values[key] = key.split(" "), segmented(key.replace(" ", ""), lexicon), lexicon
+                words, known, lexicon = values[key]
+                costs.append(_aligned_with(words, known, cand.split(" "), lexicon, max_cost))
             frame = frame.assign(cost=pd.Series(costs, dtype="float64", index=frame.index))
             yield frame.loc[frame["cost"].notna(), ["k", "key", "c", "cand", "cos", "cost"]]
 
