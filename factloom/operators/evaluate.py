@@ -46,17 +46,19 @@ def dense_number(rows: DataFrame, key: str, name: str) -> DataFrame:
     return scratch.save(ranged.withColumn("own", own).join(F.broadcast(shifts), "part").withColumn(name, F.col("own") + F.col("shift")).drop("part", "own", "shift"), "numbered")
 
 
+#: A count drawn from the Poisson distribution of mean 1 is as many as of these shares the draw reaches.
+_POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406, 0.999917)
+
+
 def bootstrap(pairs: DataFrame, key: str, a: str, b: str, rounds: int = 200, seed: str = "17") -> DataFrame:
-    """95 % interval of the mean difference a - b over resampled keys: ``n, lo, hi``.
+    """95 % interval of the mean difference a - b over resampled keys: ``rounds, lo, hi``.
 
-    ``pairs`` has one row per key; of it only the dense number and the two values are used. Draw i of a round takes the row whose number
-    a digest of (seed, round, i) names, so any engine draws alike; draws meet the rows in one equi-join and each round is one group.
+    ``pairs`` has one row per key. How often a key counts in a round is drawn (Poisson, mean 1) from a digest of seed, round and key, so any engine draws
+    alike, and a round is a sum that every task makes of its own rows: nothing is joined, and one row a round and task is shuffled.
     """
-    numbered = dense_number(pairs.select(key, (F.col(a) - F.col(b)).alias("d")), key, "i").select("i", "d")
-    total = numbered.count()
-    draws = numbered.select(F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
-    text = F.concat_ws("|", F.lit(seed), F.col("r").cast("string"), F.col("draw").cast("string"))
-    draws = draws.select("r", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % total).alias("i"))
-    means = draws.join(numbered, "i").groupBy("r").agg(F.avg("d").alias("m"))
+    drawn = pairs.select(F.col(key).cast("string").alias("k"), (F.col(a) - F.col(b)).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
+    share = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("r").cast("string"), "k")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    weight = sum((F.when(F.col("u") >= p, 1).otherwise(0) for p in _POISSON[1:]), F.when(F.col("u") >= _POISSON[0], 1).otherwise(0))
+    means = drawn.select("r", "d", share.alias("u")).select("r", "d", weight.alias("w")).groupBy("r").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
     q = lambda p: F.round(F.percentile("m", F.lit(p)), 6)
     return means.agg(F.count("*").alias("rounds"), q(0.025).alias("lo"), q(0.975).alias("hi"))

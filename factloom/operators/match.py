@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import norm
+from factloom.scratch import Scratch
 
 _NEGATION = r"(^|[^a-z])(not|never|no|none|without|off|cannot|can't|isn't|doesn't|no longer)([^a-z]|$)"
-_INSIDE = r"(within|at most|up to|no more than|under|less than) (the )?([0-9]+) ([a-z]+)"
-_BEYOND = r"(after|more than|over|at least|beyond|exceeds) (the )?([0-9]+) ([a-z]+)"
+# Words that set a bound of time, inside or beyond it, and the units of time.
+INSIDE = ("within", "less than", "under", "up to", "at most")
+BEYOND = ("past", "after", "more than", "beyond", "longer than")
+TIMES = ("second", "minute", "hour", "day", "week", "month", "year")
+#: "the past 7 days" is a window and no bound.
+_WINDOW = r"(^|[^a-z0-9_])the\s+(" + "|".join((*INSIDE, *BEYOND)) + r")\s"
+_BOUND = r"(^|[^a-z0-9_])(" + "|".join((*INSIDE, *BEYOND)) + r")\s+([0-9]+(?:\.[0-9]+)?)\s+(" + "|".join(TIMES) + r")s?([^a-z0-9_]|$)"
 
 
 def negated(text: Column) -> Column:
@@ -25,10 +33,22 @@ def allowed(text: Column) -> Column:
 
 
 def bounds(text: Column) -> Column:
-    """'inside n unit' or 'beyond n unit' of the first bound that a statement sets, else null."""
-    t = F.lower(text)
-    say = lambda word, p: F.concat_ws(" ", F.lit(word), F.regexp_extract(t, p, 3), F.regexp_replace(F.regexp_extract(t, p, 4), "s$", ""))
-    return F.when(t.rlike(_INSIDE), say("inside", _INSIDE)).when(t.rlike(_BEYOND), say("beyond", _BEYOND))
+    """All bounds of time that a text sets, as 'inside n unit' or 'beyond n unit', each once and sorted; none gives an empty array."""
+    t = F.regexp_replace(F.lower(text), _WINDOW, "$1")
+    part = lambda n: F.regexp_extract_all(t, F.lit(_BOUND), F.lit(n))
+    side = lambda w: F.when(w.isin(*INSIDE), "inside").otherwise("beyond")
+    number = lambda n: F.when(n.contains("."), F.regexp_replace(F.regexp_replace(n, "0+$", ""), r"\.$", "")).otherwise(n)
+    found = F.transform(F.arrays_zip(part(2).alias("w"), part(3).alias("n"), part(4).alias("u")), lambda x: F.concat_ws(" ", side(x["w"]), number(x["n"]), x["u"]))
+    return F.array_sort(F.array_distinct(found))
+
+
+def bounds_conflict(a: Column, b: Column) -> Column:
+    """Whether two texts bound the same number of one unit and not on the same sides."""
+    x, y = bounds(a), bounds(b)
+    key = lambda e: F.regexp_replace(e, "^(inside|beyond) ", "")
+    odd = F.array_union(F.array_except(x, y), F.array_except(y, x))
+    both = F.array_intersect(F.transform(x, key), F.transform(y, key))
+    return F.exists(odd, lambda e: F.array_contains(both, key(e)))
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:
@@ -47,27 +67,70 @@ def numbers_compatible(truth: Column, found: Column) -> Column:
 def statements_match(truth: Column, found: Column, least: float = 0.6) -> Column:
     """The veto chain (negation, outcome, bound, numbers), then term overlap of at least ``least``."""
     differs = lambda f: f(truth).isNotNull() & f(found).isNotNull() & (f(truth) != f(found))
-    veto = (negated(truth) != negated(found)) | differs(allowed) | differs(bounds) | ~numbers_compatible(truth, found)
+    veto = (negated(truth) != negated(found)) | differs(allowed) | bounds_conflict(truth, found) | ~numbers_compatible(truth, found)
     return ~veto & (overlap_coefficient(truth, found) >= least)
 
 
-def assign(candidates: DataFrame, group: str, returned: str, expected: str, ordinal: str) -> DataFrame:
-    """Greedy one-to-one assignment within each group: in the order of ``ordinal`` every returned item takes its best free expected one.
+def assign(returned: DataFrame, expected: DataFrame, pairs: DataFrame, together: int = 5) -> DataFrame:
+    """One-to-one assignment within each group: in the order of ``ordinal`` every returned item takes its best free expected one: ``grp, returned, expected``.
 
-    ``candidates`` has ``score``; of equal scores the smaller expected id. A group is one query's short list, so it fits a task by contract.
-    """
+    ``returned`` has ``grp, returned, side, ordinal``, ``expected`` has ``grp, expected, side``; ``side`` names a class of like items. ``pairs``
+    has ``grp, a, b, score``: which class of returned items (a) may take which of expected ones (b), the highest score first, then the smaller b;
+    in a class the smaller id goes first. Rows that repeat an item are taken as they come, so items must be unique; nulls take no part.
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        out = []
-        for _, mine in frame.sort_values([ordinal, returned]).groupby([ordinal, returned], sort=True):
-            free = mine[~mine[expected].isin(taken)].sort_values(["score", expected], ascending=[False, True])
-            if len(free):
-                best = free.iloc[0]
-                taken.add(best[expected])
-                out.append((best[group], best[returned], best[expected]))
-        return pd.DataFrame(out, columns=[group, returned, expected])
-
-    kinds = dict(candidates.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (group, returned, expected))
-    return candidates.select(group, returned, expected, ordinal, "score").groupBy(group).applyInPandas(fold, schema)
+    Method: every item asks its best class that has not refused it; a class keeps as many as it has items, the first in order, and refuses the
+    others, who ask on. As all classes prefer the same order, what is kept in the end is what taking turns gives. No group is a task, and there is
+    no limit on items. ``together`` rounds are one plan, written to the shared folder; groups in which nobody is refused any more are done.
+    """
+    scratch = Scratch(returned.sparkSession, "assign")
+    rank = F.row_number().over(W.partitionBy("grp", "a").orderBy(F.desc("score"), "b"))
+    wishes = scratch.save(pairs.select("grp", "a", "b", rank.alias("wish")), "wishes")
+    room = scratch.save(expected.groupBy("grp", F.col("side").alias("b")).agg(F.count("*").alias("room")), "room")
+    order = W.partitionBy("grp", "b").orderBy("ordinal", "returned")
+    step = returned.select("grp", "returned", F.col("side").alias("a"), "ordinal", F.lit(1).alias("wish"))
+    done = []
+    while True:
+        for _ in range(together):
+            asked = step.select("grp", "returned", "a", "ordinal", "wish").join(wishes, ["grp", "a", "wish"]).join(room, ["grp", "b"]).withColumn("place", F.row_number().over(order))
+            refused = F.col("place") > F.col("room")
+            step = asked.select("grp", "returned", "a", "b", "ordinal", (F.col("wish") + refused.cast("int")).alias("wish"), "place", refused.alias("refused"))
+        step = scratch.save(step, "rounds")
+        open_ = scratch.save(step.where("refused").select("grp").distinct(), "open")
+        done.append(scratch.save(step.join(open_, "grp", "left_anti"), "done"))
+        if open_.isEmpty():
+            break
+        step = step.join(open_, "grp", "left_semi")
+    step = scratch.together(done)
+    own = F.row_number().over(W.partitionBy("grp", "side").orderBy("expected"))
+    seats = expected.select("grp", F.col("side").alias("b"), "expected", own.alias("place"))
+    return step.join(seats, ["grp", "b", "place"]).select("grp", "returned", "expected")
+
+
+def term_pairs(classes: DataFrame, key: list[str], least: float, split: int = 16) -> DataFrame:
+    """Pairs ``a < b`` of classes (``name, text`` and the columns of ``key``) of one key whose term sets overlap by ``least`` or more, with ``overlap``.
+
+    Candidates meet in an inverted index of terms. A class looks for others by its rarest terms only: of n terms all but ``least`` n are enough, as who shares
+    none of these shares too few. Where a term of a key is common, those that look for it are spread over ``split`` parts.
+    """
+    terms = classes.select(*key, "name", F.array_distinct(norm.terms(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    flat = terms.select(*key, "name", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    df = flat.groupBy(*key, "term").agg(F.count("*").alias("df"))
+    rarity = W.partitionBy(*key, "name").orderBy("df", "term")
+    ranked = flat.join(df, [*key, "term"]).withColumn("r", F.row_number().over(rarity))
+    salt = F.when(F.col("df") > 1_000, F.pmod(F.xxhash64("name"), F.lit(split)).cast("int")).otherwise(F.lit(0))
+    probe = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(*key, "term", salt.alias("salt"), F.col("name").alias("p"), F.col("n").alias("n_p"))
+    parts = F.when(F.col("df") > 1_000, F.sequence(F.lit(0), F.lit(split - 1))).otherwise(F.array(F.lit(0)))
+    stock = ranked.select(*key, "term", F.explode(parts).alias("salt"), F.col("name").alias("q"), F.col("n").alias("n_q"))
+    # The smaller set decides, so it is the one that looks.
+    met = probe.join(stock, [*key, "term", "salt"]).where("p <> q AND (n_p < n_q OR (n_p = n_q AND p < q))").select(*key, "p", "q").distinct()
+    side = lambda c: terms.select(*key, F.col("name").alias(c), F.col("terms").alias(f"t_{c}"))
+    wide = met.join(side("p"), [*key, "p"]).join(side("q"), [*key, "q"])
+    overlap = F.round(F.size(F.array_intersect("t_p", "t_q")) / F.least(F.size("t_p"), F.size("t_q")), 6)
+    return wide.select(*key, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), overlap.alias("overlap")).where(F.col("overlap") >= least)
+
+
+def statement_classes(facts: DataFrame, key: list[str]) -> DataFrame:
+    """``key, name, text, n``: the facts (``id, statement`` and the key) of one statement, whatever its case and spacing, named by the smallest id."""
+    rows = reduce(lambda df, c: df.where(F.col(c).isNotNull()), ["statement", *key], facts)
+    said = norm.statement(F.col("statement"))
+    return rows.groupBy(*key, said.alias("text")).agg(F.min("id").alias("name"), F.count("*").alias("n")).where("text <> ''")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import norm
 from factloom.operators import evaluate, match
-from factloom.plans.views import STORED, stored
+from factloom.plans.views import STORED, UNIT, stored
 from factloom.scratch import Scratch
 from factloom.session import ntz, table
 from factloom.streaming import incremental
@@ -116,46 +116,67 @@ def statement_vetoes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bound_directions(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", match.bounds(F.col("text")).alias("bound"))
-    return docs.where("bound IS NOT NULL")
+    """Every bound of time that a document sets, one row each."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.explode(match.bounds(F.col("text"))).alias("bound"))
+
+
+def _statements(spark: SparkSession, sf: str) -> DataFrame:
+    """The different statements of every base fact."""
+    return match.statement_classes(stored(spark, sf, "base_id", "statement"), ["base_id"])
 
 
 def overlap_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Overlap of every stored statement with the first statement of its base fact."""
+    """Overlap of any two different statements of a base fact that share half of their terms, each named by its smallest fact."""
+    return match.term_pairs(_statements(spark, sf), ["base_id"], 0.5).select("a", "b", "overlap")
+
+
+def statement_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fact with the smallest one of its base fact and statement, which stands for it in pairs."""
     rows = stored(spark, sf, "base_id", "statement").where("base_id IS NOT NULL AND statement IS NOT NULL")
-    first = rows.groupBy("base_id").agg(F.min(F.struct("id", "statement")).alias("m")).select("base_id", F.col("m.statement").alias("lead"))
-    return rows.join(first, "base_id").select("id", match.overlap_coefficient(F.col("statement"), F.col("lead")).alias("overlap"))
+    said = rows.select("id", "base_id", norm.statement(F.col("statement")).alias("text")).where("text <> ''")
+    return said.join(said.groupBy("base_id", "text").agg(F.min("id").alias("class")), ["base_id", "text"]).select("id", "class")
 
 
 def claim_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether every observation's value and unit agree with the first one of its entity and attribute."""
+    """How many pairs of observations of an entity's attributes there are, and how many agree in value and unit; counted by value and unit, not pair by pair."""
     rows = stored(spark, sf, "claim_entity", "claim_attribute", "claim_value", "claim_unit").where("claim_entity IS NOT NULL AND claim_attribute IS NOT NULL AND claim_value IS NOT NULL")
-    keyed = rows.select("id", "claim_entity", norm.attribute(F.col("claim_attribute")).alias("att"), norm.value_number(F.col("claim_value")).alias("num"), norm.value_text(F.col("claim_value")).alias("txt"), norm.unit(F.col("claim_unit")).alias("unit"))
-    first = keyed.groupBy("claim_entity", "att").agg(F.min(F.struct("id", "num", "txt", "unit")).alias("m"))
-    j = keyed.join(first, ["claim_entity", "att"])
-    same = (F.col("num").eqNullSafe(F.col("m.num"))) & (F.col("txt").eqNullSafe(F.col("m.txt")))
-    unit = F.col("unit").isNull() | F.col("m.unit").isNull() | (F.col("unit") == F.col("m.unit"))
-    return j.groupBy("claim_entity").agg(F.count("*").alias("n"), F.count_if(same & unit).alias("agree"))
+    value = F.coalesce(norm.number_text(norm.value_number(F.col("claim_value"))), norm.value_text(F.col("claim_value")))
+    key = ["claim_entity", "att"]
+    classes = rows.groupBy("claim_entity", norm.attribute(F.col("claim_attribute")).alias("att"), value.alias("value"), norm.unit(F.col("claim_unit")).alias("unit")).agg(F.count("*").alias("n"))
+    # A missing unit agrees with any, two stated ones only if equal.
+    values = classes.groupBy(*key, "value").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("unit").isNotNull(), F.col("n") * F.col("n"))).alias("same"), F.sum(F.when(F.col("unit").isNotNull(), F.col("n"))).alias("stated"))
+    bare = F.col("n") - F.coalesce("stated", F.lit(0))
+    ordered = F.coalesce("same", F.lit(0)) + bare * bare + 2 * bare * F.coalesce("stated", F.lit(0))
+    keys = values.groupBy(*key).agg(F.sum("n").alias("n"), F.sum((ordered - F.col("n")) / 2).cast("bigint").alias("agree"))
+    return keys.groupBy("claim_entity").agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("bigint")).alias("n_pairs"), F.sum("agree").alias("n_agree"))
 
 
 def statement_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The veto chain and overlap on every statement against the first one of its base fact."""
-    rows = stored(spark, sf, "base_id", "statement").where("base_id IS NOT NULL AND statement IS NOT NULL")
-    first = rows.groupBy("base_id").agg(F.min(F.struct("id", "statement")).alias("m")).select("base_id", F.col("m.statement").alias("lead"))
-    return rows.join(first, "base_id").select("id", match.statements_match(F.col("lead"), F.col("statement")).alias("matches"))
+    """Any two different statements of a base fact that match: no veto, and 0.6 of the terms shared."""
+    texts = _statements(spark, sf)
+    pairs = match.term_pairs(texts, ["base_id"], 0.6)
+    text = lambda c: texts.select("base_id", F.col("name").alias(c), F.col("text").alias(f"t_{c}"))
+    wide = pairs.join(text("a"), ["base_id", "a"]).join(text("b"), ["base_id", "b"])
+    return wide.where(match.statements_match(F.col("t_a"), F.col("t_b"))).select("a", "b", "overlap")
 
 
 def greedy_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts returned for an entity (its five first by rank) assigned one to one to its five most confident ones by term overlap."""
-    from pyspark.sql import Window as W
-
-    rows = stored(spark, sf, "claim_entity", "statement", "tier", "confidence").where("claim_entity IS NOT NULL AND statement IS NOT NULL")
-    a = W.partitionBy("claim_entity").orderBy(norm.tier_rank("tier").desc(), "id")
-    b = W.partitionBy("claim_entity").orderBy(F.coalesce(F.nanvl(F.col("confidence"), F.lit(0.0)), F.lit(0.0)).desc(), "id")
-    got = rows.withColumn("ordinal", F.row_number().over(a)).where("ordinal <= 5").select("claim_entity", F.col("id").alias("returned"), F.col("statement").alias("s"), "ordinal")
-    want = rows.withColumn("r", F.row_number().over(b)).where("r <= 5").select("claim_entity", F.col("id").alias("expected"), F.col("statement").alias("t"))
-    pairs = got.join(want, "claim_entity").withColumn("score", match.overlap_coefficient(F.col("s"), F.col("t"))).where("score >= 0.3")
-    return match.assign(pairs, "claim_entity", "returned", "expected", "ordinal")
+    """Executed facts of an entity, the latest first, assigned one to one to its documented ones by the terms that their statements share (0.3 or more)."""
+    rows = stored(spark, sf, "claim_entity", "statement", "tier", "valid_at").where("claim_entity IS NOT NULL AND statement IS NOT NULL")
+    said = rows.select("id", "claim_entity", "tier", "valid_at", norm.statement(F.col("statement")).alias("text"))
+    names = match.statement_classes(stored(spark, sf, "claim_entity", "statement"), ["claim_entity"])
+    facts = said.join(names.select("claim_entity", "text", F.col("name").alias("side")), ["claim_entity", "text"]).withColumnRenamed("claim_entity", "grp")
+    ordinal = -F.coalesce(F.unix_micros(F.col("valid_at").cast("timestamp")), F.lit(-(2**62)))
+    got = facts.where("tier = 'executed'").select("grp", F.col("id").alias("returned"), "side", ordinal.alias("ordinal"))
+    want = facts.where("tier = 'documented'").select("grp", F.col("id").alias("expected"), "side")
+    near = match.term_pairs(names, ["claim_entity"], 0.3)
+    ends = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    same = names.select("claim_entity", F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("score"))
+    pairs = near.select("claim_entity", F.col("overlap").alias("score"), ends).select("claim_entity", "a", "b", "score").unionByName(same).withColumnRenamed("claim_entity", "grp")
+    wanted = want.select("grp", F.col("side").alias("b")).distinct()
+    asking = got.select("grp", F.col("side").alias("a")).distinct()
+    return match.assign(got, want, pairs.join(wanted, ["grp", "b"], "left_semi").join(asking, ["grp", "a"], "left_semi")).withColumnRenamed("grp", "claim_entity")
 
 
 def leak_prefix8(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prf_by_surface, prf_grouping_sets, tier_confusion, category_accuracy, wilson_bound, precision_at_5, duplicates, distinct_claims, fidelity_bands, headline,
-        latency_percentiles, multi_run_median, bootstrap_ci, statement_vetoes, bound_directions, overlap_similarity, claim_match, statement_match, greedy_assignment,
+        latency_percentiles, multi_run_median, bootstrap_ci, statement_vetoes, bound_directions, overlap_similarity, statement_members, claim_match, statement_match, greedy_assignment,
         leak_prefix8, stream_tumbling, stream_session, stream_incremental_facts,
     )
 }
@@ -212,19 +233,31 @@ def _terms(text: str) -> str:
 
 _NEG = r"regexp_matches(lower({0}), '(^|[^a-z])(not|never|no|none|without|off|cannot|can''t|isn''t|doesn''t|no longer)([^a-z]|$)')"
 _OUT = "CASE WHEN regexp_matches(lower({0}), 'reject|refus|den(y|ied)|must not|fails?([^a-z]|$)') THEN 'refused' WHEN regexp_matches(lower({0}), 'accept|allow|grant|succeed|still returns') THEN 'allowed' END"
-_IN = "'(within|at most|up to|no more than|under|less than) (the )?([0-9]+) ([a-z]+)'"
-_BY = "'(after|more than|over|at least|beyond|exceeds) (the )?([0-9]+) ([a-z]+)'"
-_BOUND = " ".join(
-    ["CASE"]
-    + [f"WHEN regexp_matches(lower({{0}}), {p}) THEN '{w} ' || regexp_extract(lower({{0}}), {p}, 3) || ' ' || regexp_replace(regexp_extract(lower({{0}}), {p}, 4), 's$', '')" for w, p in (("inside", _IN), ("beyond", _BY))]
-    + ["END"]
+_SIDES = "(" + "|".join((*match.INSIDE, *match.BEYOND)) + ")"
+_PAT = rf"'(^|[^a-z0-9_]){_SIDES}\s+([0-9]+(?:\.[0-9]+)?)\s+({'|'.join(match.TIMES)})s?([^a-z0-9_]|$)'"
+_T = rf"regexp_replace(lower({{0}}), '(^|[^a-z0-9_])the\s+{_SIDES}\s', '\1', 'g')"
+_SIDE = ", ".join(f"'{w}'" for w in match.INSIDE)
+_BOUND = (
+    f"list_sort(list_distinct(list_transform(list_zip(regexp_extract_all({_T}, {_PAT}, 2), regexp_extract_all({_T}, {_PAT}, 3), regexp_extract_all({_T}, {_PAT}, 4)), "
+    rf"lambda x: CASE WHEN x[1] IN ({_SIDE}) THEN 'inside ' ELSE 'beyond ' END || CASE WHEN contains(x[2], '.') THEN rtrim(rtrim(x[2], '0'), '.') ELSE x[2] END || ' ' || x[3])))"
 )
 _NUMS = r"list_distinct(list_transform(regexp_extract_all({0}, '[0-9]+(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.') THEN rtrim(rtrim(x, '0'), '.') ELSE x END))"
-_LEAD = f"(SELECT base_id, arg_min(statement, id) lead FROM {STORED} WHERE base_id IS NOT NULL AND statement IS NOT NULL GROUP BY 1)"
-_OVER = f"CASE WHEN least(len({_terms('statement')}), len({_terms('l.lead')})) > 0 THEN round(len(list_intersect({_terms('statement')}, {_terms('l.lead')})) / least(len({_terms('statement')}), len({_terms('l.lead')})), 6) ELSE 0.0 END"
+_NORM = r"regexp_replace(regexp_replace(trim(lower(statement)), '\s+', ' ', 'g'), '[ .]+$', '')"
+
+
+def _classes(key: str) -> str:
+    return f"(SELECT {key} k, {_NORM} t, min(id) n FROM {STORED} WHERE {key} IS NOT NULL AND statement IS NOT NULL GROUP BY 1, 2 HAVING {_NORM.replace('statement', 'any_value(statement)')} <> '')"
+
+
+def _overlaps(key: str) -> str:
+    """Any two statements of a key with their overlap."""
+    w = f"(SELECT k, n, t, {_terms('t')} w FROM {_classes(key)})"
+    return f"(SELECT x.k, x.n a, y.n b, x.t ta, y.t tb, round(len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)), 6) overlap FROM {w} x JOIN {w} y ON x.k = y.k AND x.n < y.n AND len(x.w) > 0 AND len(y.w) > 0)"
+
+
 _VALUE = "replace(lower(trim(claim_value)), ',', '')"
 _NUM = r"'^\$?\s*(-?[0-9]+(?:\.[0-9]+)?)\s*(?:%|usd)?$'"
-_UNIT = "CASE WHEN u NOT IN ('', 'none', 'null') THEN CASE u {0} ELSE u END END".format(" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in norm.UNITS.items()))
+_UNIT = UNIT
 
 ORACLE = {
     "prf_by_surface": f"SELECT *, {_F1} f1 FROM {_PRF}",
@@ -243,20 +276,22 @@ ORACLE = {
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, count(*) n FROM events WHERE value IS NOT NULL GROUP BY 1",
     "multi_run_median": "SELECT event_type, round(median(m), 6) median, round(min(m), 6) least, round(max(m), 6) most FROM (SELECT event_type, user_id, avg(value) m FROM events GROUP BY 1, 2) GROUP BY 1",
     "bootstrap_ci": """WITH k AS (SELECT user_id, CAST(count(*) FILTER (event_type = 'click') AS DOUBLE) - CAST(count(*) FILTER (event_type = 'view') AS DOUBLE) d FROM events WHERE user_id IS NOT NULL GROUP BY 1),
-      n AS (SELECT row_number() OVER (ORDER BY user_id) - 1 i, d FROM k),
-      x AS (SELECT r, CAST('0x' || substr(md5('17|' || r || '|' || n.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM n) i FROM n, (SELECT range r FROM range(200))),
-      m AS (SELECT x.r, avg(n.d) m FROM x JOIN n ON x.i = n.i GROUP BY 1)
+      x AS (SELECT r, d, CAST('0x' || substr(md5('17|' || r || '|' || user_id), 1, 8) AS BIGINT) / 4294967296.0 u FROM k, (SELECT range r FROM range(200))),
+      w AS (SELECT r, d, CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.919699 THEN 2 WHEN u < 0.981012 THEN 3 WHEN u < 0.99634 THEN 4 WHEN u < 0.999406 THEN 5 WHEN u < 0.999917 THEN 6 ELSE 7 END w FROM x),
+      m AS (SELECT r, sum(w * d) / sum(w) m FROM w GROUP BY 1)
       SELECT count(*) rounds, round(quantile_cont(m, 0.025), 6) lo, round(quantile_cont(m, 0.975), 6) hi FROM m""",
     "statement_vetoes": f"SELECT {_NEG.format('statement')} negated, {_OUT.format('statement')} outcome, count(*) n FROM {STORED} WHERE statement IS NOT NULL GROUP BY 1, 2",
-    "bound_directions": f"SELECT doc_id, bound FROM (SELECT doc_id, {_BOUND.format('text')} bound FROM documents WHERE text IS NOT NULL) WHERE bound IS NOT NULL",
-    "overlap_similarity": f"SELECT id, {_OVER} overlap FROM {STORED} f JOIN {_LEAD} l USING (base_id) WHERE statement IS NOT NULL",
+    "bound_directions": f"SELECT doc_id, unnest({_BOUND.format('text')}) bound FROM documents WHERE text IS NOT NULL",
+    "overlap_similarity": f"SELECT a, b, overlap FROM {_overlaps('base_id')} WHERE overlap >= 0.5",
+    "statement_members": f"SELECT id, n AS \"class\" FROM (SELECT *, {_NORM} t FROM {STORED}) f JOIN {_classes('base_id')} c ON f.base_id = c.k AND f.t = c.t",
     "claim_match": rf"""WITH r AS (SELECT id, claim_entity e, trim(regexp_replace(lower(claim_attribute), '[^a-z0-9]+', '_', 'g'), '_') a, {_VALUE} v, lower(trim(claim_unit)) u FROM {STORED} WHERE claim_entity IS NOT NULL AND claim_attribute IS NOT NULL AND claim_value IS NOT NULL),
-      k AS (SELECT id, e, a, CASE WHEN regexp_matches(v, {_NUM}) THEN CAST(regexp_extract(v, {_NUM}, 1) AS DOUBLE) END num, CASE WHEN NOT regexp_matches(v, {_NUM}) THEN v END txt, {_UNIT} unit FROM r),
-      f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e, a ORDER BY id) n FROM k) WHERE n = 1)
-      SELECT k.e claim_entity, count(*) n, count(*) FILTER (k.num IS NOT DISTINCT FROM f.num AND k.txt IS NOT DISTINCT FROM f.txt AND (k.unit IS NULL OR f.unit IS NULL OR k.unit = f.unit)) agree FROM k JOIN f ON k.e = f.e AND k.a = f.a GROUP BY 1""",
-    "statement_match": f"""SELECT id, NOT ({_NEG.format('statement')} <> {_NEG.format('l.lead')} OR coalesce({_OUT.format('statement')} <> {_OUT.format('l.lead')}, false) OR coalesce({_BOUND.format('statement')} <> {_BOUND.format('l.lead')}, false)
-      OR NOT CASE WHEN len({_NUMS.format('l.lead')}) = 0 THEN len({_NUMS.format('statement')}) = 0 ELSE len(list_filter({_NUMS.format('l.lead')}, lambda y: NOT list_contains({_NUMS.format('statement')}, y))) = 0 END)
-      AND {_OVER} >= 0.6 matches FROM {STORED} f JOIN {_LEAD} l USING (base_id) WHERE statement IS NOT NULL""",
+      k AS (SELECT id, e, a, CASE WHEN regexp_matches(v, {_NUM}) THEN CAST(CAST(CAST(regexp_extract(v, {_NUM}, 1) AS DOUBLE) AS DECIMAL(28,6)) AS VARCHAR) ELSE v END v, {_UNIT} unit FROM r)
+      SELECT x.e claim_entity, count(y.id) n_pairs, count(*) FILTER (x.v = y.v AND (x.unit IS NULL OR y.unit IS NULL OR x.unit = y.unit)) n_agree
+      FROM k x LEFT JOIN k y ON x.e = y.e AND x.a = y.a AND x.id < y.id GROUP BY 1""",
+    "statement_match": f"""SELECT a, b, overlap FROM {_overlaps('base_id')} WHERE overlap >= 0.6 AND NOT ({_NEG.format('ta')} <> {_NEG.format('tb')} OR coalesce({_OUT.format('ta')} <> {_OUT.format('tb')}, false)
+      OR len(list_filter(list_concat(list_filter({_BOUND.format('ta')}, lambda y: NOT list_contains({_BOUND.format('tb')}, y)), list_filter({_BOUND.format('tb')}, lambda y: NOT list_contains({_BOUND.format('ta')}, y))),
+        lambda e: list_contains(list_transform({_BOUND.format('ta')}, lambda z: substr(z, 8)), substr(e, 8)) AND list_contains(list_transform({_BOUND.format('tb')}, lambda z: substr(z, 8)), substr(e, 8)))) > 0
+      OR NOT CASE WHEN len({_NUMS.format('ta')}) = 0 THEN len({_NUMS.format('tb')}) = 0 ELSE len(list_filter({_NUMS.format('ta')}, lambda y: NOT list_contains({_NUMS.format('tb')}, y))) = 0 END)""",
     "leak_prefix8": r"""WITH p AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', '', 'g'), '\s+', ' ', 'g')) || ' ' t FROM documents WHERE text IS NOT NULL),
       w AS (SELECT item_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', '', 'g'), '\s+', ' ', 'g')), ' ') w FROM eval_item WHERE text IS NOT NULL)
       SELECT DISTINCT doc_id, item_id FROM p JOIN w ON len(w) >= 8 AND contains(t, ' ' || array_to_string(w[1:8], ' ') || ' ')""",

@@ -21,11 +21,13 @@ def excluded_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def step_of_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Which steps hold equal trees: an order-free digest of (path, content) per step, compared by value."""
+    """Which steps hold equal trees: the number of paths and two sums of 60 bits of a digest of (path, content), whatever the order, stand for a step's tree."""
     li = table(spark, sf, "lineitem")
     tree = li.groupBy((F.year("l_shipdate") - 1995).cast("int").alias("step"), F.col("l_suppkey").alias("path")).agg((F.count("*") % 2).alias("blob"))
-    digest = tree.groupBy("step").agg(F.concat_ws("-", F.count("*").cast("string"), F.sum(F.col("path") * 31 + F.col("blob") * 7).cast("string")).alias("tree"))
-    return digest.groupBy("tree").agg(F.min("step").alias("first_step"), F.count("*").alias("n_steps"))
+    digest = F.md5(F.concat_ws("|", F.col("path").cast("string"), F.col("blob").cast("string")))
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    trees = tree.groupBy("step").agg(F.concat_ws("-", F.count("*").cast("string"), part(1), part(17)).alias("tree"))
+    return trees.groupBy("tree").agg(F.min("step").alias("first_step"), F.count("*").alias("n_steps"))
 
 
 def known_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,12 +82,17 @@ def flaky_inherits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replaced_test(spark: SparkSession, sf: str) -> DataFrame:
-    """Small parts as vanished tests, large ones of the same brand and type as added: the best successor shares the most words (0.6 or more)."""
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    gone = p.where("p_size <= 10").select("p_brand", "p_type", F.col("p_partkey").alias("gone"), F.array_distinct(F.split("p_name", " ")).alias("a"))
-    new = p.where("p_size > 10").select("p_brand", "p_type", F.col("p_partkey").alias("new"), F.array_distinct(F.split("p_name", " ")).alias("b"))
-    both = gone.join(new, ["p_brand", "p_type"]).withColumn("score", F.round(F.size(F.array_intersect("a", "b")) / F.least(F.size("a"), F.size("b")), 6)).where("score >= 0.6")
-    return both.groupBy("gone").agg(F.max(F.struct("score", (-F.col("new")).alias("neg"))).alias("m")).select("gone", (-F.col("m.neg")).alias("new"), F.col("m.score").alias("score"))
+    """Small parts as vanished tests, large ones of the same brand and type as added: the best successor shares the most words (0.6 or more).
+
+    Names of the same words are one class, and only these are compared; the successor is the class's smallest number.
+    """
+    p = table(spark, sf, "part").where("p_name IS NOT NULL").select("p_partkey", "p_brand", "p_type", "p_size", F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("w"))
+    gone = p.where("p_size <= 10").select("p_brand", "p_type", F.col("p_partkey").alias("gone"), F.col("w").alias("a"))
+    new = p.where("p_size > 10").groupBy("p_brand", "p_type", F.col("w").alias("b")).agg(F.min("p_partkey").alias("new"))
+    both = gone.select("p_brand", "p_type", "a").distinct().join(new, ["p_brand", "p_type"])
+    both = both.withColumn("score", F.round(F.size(F.array_intersect("a", "b")) / F.least(F.size("a"), F.size("b")), 6)).where("score >= 0.6")
+    best = both.groupBy("p_brand", "p_type", "a").agg(F.max(F.struct("score", (-F.col("new")).alias("neg"))).alias("m"))
+    return gone.join(best, ["p_brand", "p_type", "a"]).select("gone", (-F.col("m.neg")).alias("new"), F.col("m.score").alias("score"))
 
 
 def pair_either_order(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,16 +146,17 @@ def carrier_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def term_contradictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts whose statement and the first statement of their claim key share enough words but differ in denial or numbers."""
+    """Any two different statements of a claim that share enough words but differ in denial or numbers, each named by its smallest fact, with how many facts make it."""
     from factloom.operators import match
 
-    rows = stored(spark, sf, "statement", "claim_entity", "claim_attribute").where("statement IS NOT NULL AND claim_entity IS NOT NULL AND claim_attribute IS NOT NULL")
-    first = rows.groupBy("claim_entity", "claim_attribute").agg(F.min(F.struct("id", "statement")).alias("m"))
-    j = rows.join(first, ["claim_entity", "claim_attribute"]).where("id <> m.id")
-    a, b = F.col("statement"), F.col("m.statement")
-    na, nb = norm.numbers(a), norm.numbers(b)
-    differ = (match.negated(a) != match.negated(b)) | ((F.size(na) > 0) & (F.size(nb) > 0) & (na != nb))
-    return j.where((match.overlap_coefficient(a, b) >= 0.35) & differ).select("id", F.col("m.id").alias("lead"))
+    key = ["claim_entity", "claim_attribute"]
+    texts = match.statement_classes(stored(spark, sf, "statement", *key), key)
+    pairs = match.term_pairs(texts, key, 0.35)
+    side = lambda c: texts.select(*key, F.col("name").alias(c), F.col("text").alias(f"t_{c}"), F.col("n").alias(f"n_{c}"))
+    wide = pairs.join(side("a"), [*key, "a"]).join(side("b"), [*key, "b"])
+    na, nb = norm.numbers(F.col("t_a")), norm.numbers(F.col("t_b"))
+    differ = (match.negated(F.col("t_a")) != match.negated(F.col("t_b"))) | ((F.size(na) > 0) & (F.size(nb) > 0) & (na != nb))
+    return wide.where(differ).select("a", "b", "n_a", "n_b", "overlap")
 
 
 def recency(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,13 +195,13 @@ def _terms(text: str) -> str:
     return f"list_distinct(list_transform({words}, lambda w: CASE WHEN length(w) > 4 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END))"
 
 
-_OVER = f"CASE WHEN least(len({_terms('a')}), len({_terms('b')})) > 0 THEN round(len(list_intersect({_terms('a')}, {_terms('b')})) / least(len({_terms('a')}), len({_terms('b')})), 6) ELSE 0.0 END"
+_NORM = r"regexp_replace(regexp_replace(trim(lower(statement)), '\s+', ' ', 'g'), '[ .]+$', '')"
 _BY_STEP = f"(SELECT node, step, arg_max(outcome, attempt) outcome, bool_or(outcome = 'passed') AND bool_or(outcome = 'failed') flaky FROM {RUNS} GROUP BY 1, 2)"
 
 ORACLE = {
     "excluded_paths": f"SELECT split_part(id, '/', 2) directory, count(DISTINCT id) n_paths FROM {REGISTRY} WHERE kind = 'code' AND NOT list_has_any(string_split(id, '/'), ['return', 'sender', 'shelf']) GROUP BY 1",
-    "step_of_tree": """WITH t AS (SELECT CAST(year(l_shipdate) - 1995 AS INTEGER) step, l_suppkey p, count(*) % 2 b FROM lineitem GROUP BY 1, 2),
-      d AS (SELECT step, count(*) || '-' || CAST(sum(p * 31 + b * 7) AS BIGINT) tree FROM t GROUP BY 1) SELECT tree, min(step) first_step, count(*) n_steps FROM d GROUP BY 1""",
+    "step_of_tree": """WITH t AS (SELECT CAST(year(l_shipdate) - 1995 AS INTEGER) step, l_suppkey p, count(*) % 2 b FROM lineitem GROUP BY 1, 2), h AS (SELECT step, md5(p || '|' || b) m FROM t),
+      d AS (SELECT step, count(*) || '-' || sum(CAST('0x' || substr(m, 1, 15) AS HUGEINT)) || '-' || sum(CAST('0x' || substr(m, 17, 15) AS HUGEINT)) tree FROM h GROUP BY 1) SELECT tree, min(step) first_step, count(*) n_steps FROM d GROUP BY 1""",
     "known_context": f"SELECT DISTINCT claim_entity entity, {_ATT} AS \"attribute\", {_UNIT} unit FROM (SELECT *, lower(trim(claim_unit)) u FROM {STORED}) WHERE claim_entity IS NOT NULL AND claim_attribute IS NOT NULL AND expired_at IS NULL",
     "implicit_documents": f"SELECT DISTINCT id, {_SOURCE} AS \"source\" FROM (SELECT document_id id FROM stored_fact UNION SELECT document_id FROM documents) WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM document_registry WHERE reg_id IS NOT NULL AND id IS NOT NULL)",
     "retracted_citations": f"SELECT base_id, n n_left, n = 0 expires FROM (SELECT base_id, count(DISTINCT document_id) FILTER (document_id NOT LIKE 'ticket/%') n FROM {STORED} WHERE base_id IS NOT NULL AND document_id IS NOT NULL GROUP BY 1)",
@@ -216,9 +224,10 @@ ORACLE = {
       CASE WHEN expired_at < created_at THEN 'expired_before_stored' END, CASE WHEN {RANK.format('tier')} = 0 THEN 'unknown_tier' END, CASE WHEN superseded_by = id THEN 'supersedes_itself' END]) rule FROM {STORED})
       SELECT rule, count(*) n, min(id) first_id FROM r WHERE rule IS NOT NULL GROUP BY 1""",
     "carrier_scope": rf"SELECT CASE WHEN coalesce(source_key, '') LIKE 'test:%' THEN 'test' WHEN document_id LIKE 'code/%' THEN 'code' ELSE 'page' END scope, count(*) n, count(DISTINCT document_id) n_documents FROM {STORED} WHERE document_id IS NOT NULL AND NOT regexp_matches(document_id, '\.(toml|json|yaml)$') GROUP BY 1",
-    "term_contradictions": f"""WITH r AS (SELECT id, statement, claim_entity e, claim_attribute t FROM {STORED} WHERE statement IS NOT NULL AND claim_entity IS NOT NULL AND claim_attribute IS NOT NULL),
-      f AS (SELECT e, t, min(id) lead, arg_min(statement, id) b FROM r GROUP BY 1, 2), j AS (SELECT r.id, f.lead, r.statement a, f.b FROM r JOIN f USING (e, t) WHERE r.id <> f.lead)
-      SELECT id, lead FROM j WHERE {_OVER} >= 0.35 AND ({_NEG.format('a')} <> {_NEG.format('b')} OR (len({_NUMS.format('a')}) > 0 AND len({_NUMS.format('b')}) > 0 AND {_NUMS.format('a')} <> {_NUMS.format('b')}))""",
+    "term_contradictions": f"""WITH c AS (SELECT claim_entity e, claim_attribute k, {_NORM} t, min(id) n, count(*) m FROM {STORED} WHERE statement IS NOT NULL AND claim_entity IS NOT NULL AND claim_attribute IS NOT NULL GROUP BY 1, 2, 3),
+      w AS (SELECT *, {_terms('t')} w FROM c WHERE t <> ''), p AS (SELECT x.n a, y.n b, x.m n_a, y.m n_b, x.t ta, y.t tb, round(len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)), 6) overlap
+        FROM w x JOIN w y ON x.e = y.e AND x.k = y.k AND x.n < y.n AND len(x.w) > 0 AND len(y.w) > 0)
+      SELECT a, b, n_a, n_b, overlap FROM p WHERE overlap >= 0.35 AND ({_NEG.format('ta')} <> {_NEG.format('tb')} OR (len({_NUMS.format('ta')}) > 0 AND len({_NUMS.format('tb')}) > 0 AND {_NUMS.format('ta')} <> {_NUMS.format('tb')}))""",
     "recency": f"SELECT base_id, max(epoch_us(seen_at)) latest_us FROM {STORED} JOIN (SELECT id document_id, max(ingested_at) seen_at FROM {REGISTRY} GROUP BY 1) USING (document_id) WHERE base_id IS NOT NULL GROUP BY 1",
     "supersession_rank": f"SELECT id, CAST(coalesce(count(invalid_us) OVER (PARTITION BY entity, attribute ORDER BY valid_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) closed_before FROM {FACT}",
 }

@@ -122,8 +122,31 @@ def test_matching(spark):
     assert not m("The refund is accepted within 14 days", "refund accepted after 14 days")
     assert not m("The refund is accepted within 14 days", "the refund is never accepted within 14 days")
     assert not m("The fee is 5 per day", "The fee is 6 per day")
-    cand = spark.createDataFrame([("q", "r1", "e1", 1, 0.5), ("q", "r1", "e2", 1, 0.9), ("q", "r2", "e2", 2, 1.0), ("q", "r2", "e1", 2, 0.3)], "q string, r string, e string, o int, score double")
-    assert {tuple(x) for x in match.assign(cand, "q", "r", "e", "o").collect()} == {("q", "r1", "e2"), ("q", "r2", "e1")}
+    assert one(spark, match.bounds(F.lit("Within 14 days, or more than 14.50 days later; the past 7 days count. At most 2 hours"))) == ["beyond 14.5 day", "inside 14 day", "inside 2 hour"]
+    assert not m("refund accepted within 14 days or after 3 hours", "refund accepted within 3 hours or within 14 days") and one(spark, match.bounds(F.lit("nothing"))) == []
+
+
+def test_assignment_takes_turns(spark):
+    import random
+
+    rng = random.Random(5)
+    returned = [(g, f"r{n:03d}", f"a{rng.randrange(6)}", rng.randrange(9)) for g in "xy" for n in range(70)]
+    expected = [(g, f"e{n:03d}", f"b{rng.randrange(7)}") for g in "xy" for n in range(50)]
+    pairs = {(g, f"a{i}", f"b{j}"): rng.choice([0.3, 0.5, 0.8]) for g in "xy" for i in range(6) for j in range(7) if rng.random() < 0.5}
+    want, free = set(), {}
+    for g, e, b in sorted(expected):
+        free.setdefault((g, b), []).append(e)
+    turns = []
+    for g, r, a, o in sorted(returned, key=lambda x: (x[0], x[3], x[1])):
+        best = sorted((-s, b) for (h, c, b), s in pairs.items() if h == g and c == a and free.get((g, b)))
+        if best:
+            turns.append((g, r, best[0][1]))
+            free[g, best[0][1]].pop(0)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = match.assign(frame(returned, "grp string, returned string, side string, ordinal int"), frame(expected, "grp string, expected string, side string"),
+                       frame([(*k, v) for k, v in pairs.items()], "grp string, a string, b string, score double")).collect()
+    side = {(g, e): b for g, e, b in expected}
+    assert {(r.grp, r.returned, side[r.grp, r.expected]) for r in got} == set(turns) and len({(r.grp, r.expected) for r in got}) == len(got) == len(turns) > 60
 
 
 def test_measures(spark):
