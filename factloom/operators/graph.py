@@ -15,31 +15,39 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, hubs: DataFrame | None
     """
     scratch = Scratch(edges.sparkSession, "reach")
     clean = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
-    both = clean.unionByName(clean.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    if hubs is not None:
-        both = both.join(hubs.select(F.col("id").alias("dst")).distinct(), "dst", "left_anti").select("src", "dst")
-    both = scratch.save(both, "edges")
+    barred = hubs.select("id").distinct() if hubs is not None else None
     seen = scratch.save(start.select("id").distinct().withColumn("distance", F.lit(0)), "seen")
     front = seen
     for step in range(1, depth + 1):
-        found = front.select(F.col("id").alias("src")).join(both, "src").select(F.col("dst").alias("id")).distinct()
-        front = scratch.save(found.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(step)), "front")
+        # The edges are read as they are, from either end; only what the frontier touches is shuffled and made distinct.
+        at = front.select(F.col("id").alias("at"))
+        out = clean.join(at, clean["src"] == at["at"]).select(F.col("dst").alias("id"))
+        back = clean.join(at, clean["dst"] == at["at"]).select(F.col("src").alias("id"))
+        found = out.unionByName(back).distinct().join(seen.select("id"), "id", "left_anti")
+        if barred is not None:
+            found = found.join(barred, "id", "left_anti")
+        front = scratch.save(found.withColumn("distance", F.lit(step)), "front")
         if front.isEmpty():
             break
         seen = scratch.save(seen.unionByName(front), "seen")
     return seen
 
 
-def relations(members: DataFrame, hub_kinds: tuple[str, ...] = ("service", "team")) -> DataFrame:
-    """Relations among entities named by one fact (``fact_id, entity, kind, position``): the others are part of a hub, non-hubs are related by order.
+def relations(members: DataFrame, hub_kinds: tuple[str, ...] = ("service", "team"), most: int = 200) -> DataFrame:
+    """Relations among entities named by one fact (``fact_id, entity, kind, position``): ``src, dst, kind``.
 
-    Set semantics, no relation of a node to itself. Hub membership is linear in the members; pairs are limited to neighbours in order.
+    Every entity that is no hub is ``part_of`` every hub of the fact, and ``related`` to every other one, the one of smaller position first (then of
+    smaller id). Set semantics, no relation of a node to itself; rows without fact or entity take no part. A fact that names more than ``most`` entities
+    which are no hubs stands for itself: each of them is ``named_by`` the fact, which says the same in as many rows as it has entities.
     """
-    from pyspark.sql import Window as W
-
-    hub = F.col("kind").isin(*hub_kinds)
-    hubs = members.where(hub).select("fact_id", F.col("entity").alias("dst"))
-    part = members.where(~hub).select("fact_id", F.col("entity").alias("src")).join(hubs, "fact_id").select("src", "dst", F.lit("part_of").alias("kind"))
-    w = W.partitionBy("fact_id").orderBy("position")
-    beside = members.where(~hub).withColumn("dst", F.lead("entity").over(w)).where("dst IS NOT NULL").select(F.col("entity").alias("src"), "dst", F.lit("related").alias("kind"))
-    return part.unionByName(beside).where("src <> dst").distinct()
+    rows = members.where("fact_id IS NOT NULL AND entity IS NOT NULL").select(F.col("fact_id").cast("string").alias("fact_id"), "entity", F.coalesce(F.col("kind").isin(*hub_kinds), F.lit(False)).alias("hub"), "position")
+    once = rows.groupBy("fact_id", "entity", "hub").agg(F.min("position").alias("position"))
+    sizes = once.where("NOT hub").groupBy("fact_id").count()
+    large = sizes.where(F.col("count") > most).select("fact_id")
+    plain = once.where("NOT hub").select("fact_id", F.col("entity").alias("src"), F.struct("position", "entity").alias("at"))
+    part = plain.join(once.where("hub").select("fact_id", F.col("entity").alias("dst")), "fact_id").select("src", "dst", F.lit("part_of").alias("kind"))
+    few = plain.join(large, "fact_id", "left_anti")
+    other = few.select("fact_id", F.col("src").alias("dst"), F.col("at").alias("after"))
+    beside = few.join(other, "fact_id").where("at < after").select("src", "dst", F.lit("related").alias("kind"))
+    named = plain.join(large, "fact_id", "left_semi").select("src", F.col("fact_id").alias("dst"), F.lit("named_by").alias("kind"))
+    return part.unionByName(beside).unionByName(named).where("src <> dst").distinct()

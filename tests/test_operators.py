@@ -97,11 +97,18 @@ def test_runs(spark):
 
 def test_search_and_graph(spark):
     docs = spark.createDataFrame([("a", "late fee rules"), ("b", "the late fees"), ("c", None), ("d", "")], "id string, text string")
-    assert [(r.id, r.score) for r in search.text_search(docs, "what is the late fee", "id", "text").collect()] == [("a", 1.0), ("b", 0.5)]
-    assert search.text_search(docs, "of the", "id", "text").count() == 0
-    vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "id int, e array<float>")
-    hit = search.vector_search(vec, spark.createDataFrame([([1.0, 0.0],)], "q array<float>"), "id", "e")
-    assert [(r.id, r.score) for r in hit.collect()] == [(1, 1.0), (3, 0.707107), (2, 0.0)]
+    asked = spark.createDataFrame([(1, "what is the late fee"), (2, "of the"), (3, None), (4, "rules")], "q int, text string")
+    assert {(r.q, r.id, r.score) for r in search.text_search(docs, asked, "id", "text").collect()} == {(1, "a", 1.0), (1, "b", 0.5), (4, "a", 1.0)}
+    vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, None), (5, []), (6, [1.0, None]), (7, [1.0])], "id int, e array<float>")
+    ask = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 2.0]), ("z", None)], "q string, embedding array<float>")
+    for numbers in (8_000_000, 2):
+        search.BLOCK_NUMBERS = numbers
+        hit = search.vector_search(vec, ask, "id", "e", limit=2)
+        assert {(r.q, r.id, r.score, r["rank"]) for r in hit.collect()} == {("x", 1, 1.0, 1), ("x", 3, 0.707107, 2), ("y", 3, 0.707107, 1), ("y", 1, 0.0, 2)}
+    search.BLOCK_NUMBERS = 8_000_000
+    members = spark.createDataFrame([("f", e, k, p) for e, k, p in (("a", "rule", 1), ("b", None, 2), ("c", "flag", 3), ("h", "team", 0), ("a", "rule", 9))] + [("g", f"n{n}", "rule", n) for n in range(9)] + [(None, "q", "rule", 1)], "fact_id string, entity string, kind string, position int")
+    got = {tuple(r) for r in graph.relations(members, most=5).collect()}
+    assert got == {("a", "h", "part_of"), ("b", "h", "part_of"), ("c", "h", "part_of"), ("a", "b", "related"), ("a", "c", "related"), ("b", "c", "related")} | {(f"n{n}", "g", "named_by") for n in range(9)}
     edges = spark.createDataFrame([("a", "hub"), ("b", "hub"), ("a", "c"), ("c", "d"), ("d", "d"), (None, "a")], "src string, dst string")
     start, hubs = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("hub",)], "id string")
     assert {tuple(r) for r in graph.reach(edges, start, 2).collect()} == {("a", 0), ("hub", 1), ("c", 1), ("b", 2), ("d", 2)}
