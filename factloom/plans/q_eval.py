@@ -207,7 +207,7 @@ def stream_session(spark: SparkSession, sf: str) -> DataFrame:
 def stream_incremental_facts(spark: SparkSession, sf: str) -> DataFrame:
     """The latest event of every user, upserted batch by batch."""
     rows = _events(spark, sf).where("user_id IS NOT NULL").select("user_id", "ts", "event_id", "event_type")
-    out = incremental.latest_by_key(rows, Scratch(spark, "stream"), ["user_id"], ["ts", "event_id"])
+    out = incremental.latest_by_key(rows, f"{Scratch(spark, 'stream').root}/latest", ["user_id"], ["ts", "event_id"])
     return out.select("user_id", "event_id", "event_type")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.scratch import Scratch
+
 _META = "metadata struct<commit:string,step:string>"
 
 
@@ -53,25 +57,55 @@ def read_junit(spark: SparkSession, path: str, commit: str | None = None) -> Dat
     return _shape(raw.select(named.alias("node_id"), outcome.alias("outcome"), F.lit(None).cast("string").alias("step"), F.lit(commit).alias("commit"), "attempt", "run_id"))
 
 
-def read_playwright_json(spark: SparkSession, path: str, depth: int = 8) -> DataFrame:
-    """Nested suites unrolled level by level to ``depth``; the last result of a test counts; titles joined by ' › ', the project before them."""
+def read_playwright_json(spark: SparkSession, path: str) -> DataFrame:
+    """Nested suites unrolled level by level, as deep as they go; the last result of a test counts.
+
+    A test is named by the titles of the suites below its file's own one and its own title, joined by ' › ', the project before them.
+    """
     raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"), *_run())
-    meta = raw.select("run_id", "attempt", F.expr("variant_get(v, '$.suites', 'array<variant>')").alias("suites"))
-    level = meta.select("run_id", "attempt", F.explode_outer("suites").alias("s"), F.array().cast("array<string>").alias("path"))
-    found = None
-    for _ in range(depth):
-        level = level.where("s IS NOT NULL").select("run_id", "attempt", "s", F.concat("path", F.array(F.expr("coalesce(try_variant_get(s, '$.title', 'string'), '')"))).alias("path"))
-        specs = level.select("run_id", "attempt", "path", F.explode(F.expr("try_variant_get(s, '$.specs', 'array<variant>')")).alias("spec"))
-        tests = specs.select("run_id", "attempt", "path", F.expr("try_variant_get(spec, '$.title', 'string')").alias("title"), F.explode(F.expr("try_variant_get(spec, '$.tests', 'array<variant>')")).alias("t"))
-        status = F.expr("element_at(try_variant_get(t, '$.results', 'array<variant>'), -1)")
+    suites = F.expr("try_variant_get(v, '$.suites', 'array<variant>')")
+    scratch = Scratch(spark, "suites")
+    level = scratch.save(raw.select("run_id", "attempt", F.explode(suites).alias("s")).select("run_id", "attempt", F.expr("to_json(s)").alias("s"), F.array().cast("array<string>").alias("path")), "level")
+    found: list[DataFrame] = []
+    while not level.isEmpty():
+        parsed = level.withColumn("s", F.parse_json("s"))
+        specs = parsed.select("run_id", "attempt", "path", F.explode(F.expr("try_variant_get(s, '$.specs', 'array<variant>')")).alias("spec"))
+        tests = specs.select("run_id", "attempt", "path", F.expr("coalesce(try_variant_get(spec, '$.title', 'string'), '')").alias("title"), F.explode(F.expr("try_variant_get(spec, '$.tests', 'array<variant>')")).alias("t"))
+        status = F.expr("try_element_at(try_variant_get(t, '$.results', 'array<variant>'), -1)")
         rows = tests.select("run_id", "attempt", F.array_join(F.concat("path", F.array("title")), " › ").alias("name"), F.expr("try_variant_get(t, '$.projectName', 'string')").alias("project"), status.alias("r"))
         rows = rows.select(
             F.concat_ws(" › ", F.concat(F.lit("["), "project", F.lit("]")), "name").alias("node_id"), F.expr("try_variant_get(r, '$.status', 'string')").alias("outcome"),
             F.lit(None).cast("string").alias("step"), F.lit(None).cast("string").alias("commit"), "attempt", "run_id",
         )
-        found = rows if found is None else found.unionByName(rows)
-        level = level.select("run_id", "attempt", F.explode(F.expr("try_variant_get(s, '$.suites', 'array<variant>')")).alias("s"), "path")
-    return _shape(found)
+        found.append(scratch.save(rows, "tests"))
+        below = parsed.select("run_id", "attempt", F.explode(F.expr("try_variant_get(s, '$.suites', 'array<variant>')")).alias("s"), "path")
+        titled = F.concat("path", F.array(F.expr("coalesce(try_variant_get(s, '$.title', 'string'), '')")))
+        level = scratch.save(below.select("run_id", "attempt", F.expr("to_json(s)").alias("s"), titled.alias("path")), "level")
+    if not found:
+        return _shape(spark.createDataFrame([], "node_id string, outcome string, step string, commit string, attempt int, run_id string"))
+    return _shape(scratch.together(found))
+
+
+#: The shape of a report, by what it holds at its top.
+_SHAPES = {"tests": "pytest", "testResults": "vitest", "suites": "playwright"}
+
+
+def report_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """``path, shape`` of every JSON report of a folder: pytest, vitest, playwright or unknown, by what it holds and not by its name."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
+    held = F.coalesce(*[F.when(F.expr(f"variant_get(v, '$.{k}', 'variant') IS NOT NULL"), F.lit(shape)) for k, shape in _SHAPES.items()], F.lit("unknown"))
+    return raw.select("path", held.alias("shape"))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All JSON reports of a folder, each by the reader of its shape; only the list of files reaches the driver."""
+    readers = {"pytest": read_pytest_json, "vitest": read_vitest_json, "playwright": read_playwright_json}
+    by: dict[str, list[str]] = {}
+    for row in report_shapes(spark, path).collect():
+        by.setdefault(row["shape"], []).append(row["path"])
+    parts = [readers[shape](spark, files) for shape, files in sorted(by.items()) if shape in readers]
+    empty = spark.createDataFrame([], "node_id string, outcome string, step string, commit string, attempt int, run_id string")
+    return reduce(DataFrame.unionByName, parts, empty)
 
 
 def cross_check(collected: DataFrame, reported: DataFrame) -> DataFrame:

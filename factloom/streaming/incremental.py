@@ -51,28 +51,47 @@ def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "10 minutes")
     return events.withWatermark("ts", delay).groupBy(s, "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
 
 
-def latest_by_key(events: DataFrame, scratch: Scratch, keys: list[str], order: list[str], name: str = "latest") -> DataFrame:
-    """Upsert of the latest row per key, batch by batch: each batch is reduced, merged with the table so far and written as its next version.
-
-    The version written last is the state; a batch that runs again writes the same version again.
+def _parts(spark: SparkSession, root: str) -> dict[int, str]:
+    """The finished parts of a state folder by their numbers."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return {}
+    names = [s.getPath() for s in fs.listStatus(where)]
+    done = [p for p in names if p.getName().startswith("n=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return {int(p.getName()[2:]): p.toString() for p in done}
+
+
+def latest_by_key(events: DataFrame, root: str, keys: list[str], order: list[str], compact: int = 20) -> DataFrame:
+    """Upsert of the latest row per key, batch by batch, into the folder ``root``, and the state after all that is available.
+
+    Each batch writes the latest row of the keys that it holds as part ``n`` of the state; the state is the latest row per key over all parts. A batch that runs
+    again writes its own part again, and a run that continues finds the parts of the runs before, so a restart loses nothing and repeats nothing. When
+    ``compact`` parts have come together they are replaced by one, so the state is rewritten once in so many batches. Rows with a null key are a key of
+    their own; of equal order the larger remaining columns count.
     """
-    spark, schema = scratch.spark, events.schema
-    root = f"{scratch.root}/{name}"
-    versions: list[str] = []
+    spark, schema = events.sparkSession, events.schema
+    parts = f"{root}/parts"
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if versions:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(versions[-1]))
-        others = [c for c in batch.columns if c not in keys]
+    def reduced(rows: DataFrame) -> DataFrame:
+        others = [c for c in schema.names if c not in keys]
         best = F.max(F.struct(*order, *[c for c in others if c not in order])).alias("m")
-        path = f"{root}/v={number}"
-        rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"m.{c}").alias(c) for c in others]).select(*batch.columns).write.mode("overwrite").parquet(path)
-        if path not in versions:
-            versions.append(path)
+        return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"m.{c}").alias(c) for c in others]).select(*schema.names)
 
-    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start()
+    def merge(batch: DataFrame, number: int) -> None:
+        before = {n: p for n, p in _parts(spark, parts).items() if n < number}
+        if len(before) < compact:
+            reduced(batch).write.mode("overwrite").parquet(f"{parts}/n={number}")
+            return
+        rows = batch.unionByName(spark.read.schema(schema).parquet(*before.values()))
+        reduced(rows).write.mode("overwrite").parquet(f"{parts}/n={number}")
+        # The part holds all of theirs; if this ends half way, what is left is merged again.
+        for p in before.values():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(versions[-1])
+    found = _parts(spark, parts)
+    return reduced(spark.read.schema(schema).parquet(*found.values())) if found else spark.createDataFrame([], schema)

@@ -1,6 +1,7 @@
-"""Readers, the versioned store and streams on small files written here."""
+"""Readers and streams on small files written here."""
 
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -48,7 +49,17 @@ def test_reports(spark, tmp_path):
     assert {(r.node_id, r.outcome) for r in reports.read_junit(spark, f"{tmp_path}/j.xml").collect()} >= {("m::a", "passed"), ("m::b", "failed"), ("d", "error")}
     suite = {"title": "f.ts", "suites": [{"title": "group", "specs": [{"title": "works", "tests": [{"projectName": "mock", "results": [{"status": "failed"}, {"status": "passed"}]}]}]}], "specs": []}
     put(tmp_path / "pw.json", json.dumps({"suites": [suite]}))
-    assert [(r.node_id, r.outcome) for r in reports.read_playwright_json(spark, f"{tmp_path}/pw.json").collect()] == [("[mock] › f.ts › group › works", "passed")]
+    assert [(r.node_id, r.outcome) for r in reports.read_playwright_json(spark, f"{tmp_path}/pw.json").collect()] == [("[mock] › group › works", "passed")]
+    deep = {"title": "deep", "specs": [{"title": "end", "tests": [{"projectName": "mock", "results": [{"status": "passed"}]}]}, {"title": "none", "tests": [{"projectName": "mock", "results": []}]}]}
+    for n in range(12):
+        deep = {"title": f"s{n}", "suites": [deep]}
+    put(tmp_path / "deep.json", json.dumps({"suites": [deep]}))
+    got = {(r.node_id, r.outcome) for r in reports.read_playwright_json(spark, f"{tmp_path}/deep.json").collect()}
+    path = " › ".join([f"s{n}" for n in range(10, -1, -1)] + ["deep"])
+    assert got == {(f"[mock] › {path} › end", "passed"), (f"[mock] › {path} › none", None)}
+    assert {r.path.rsplit("/", 1)[1]: r["shape"] for r in reports.report_shapes(spark, f"{tmp_path}/*.json").collect()} == {
+        "pytest-c1.json": "pytest", "pytest-c1-rerun.json": "pytest", "v.json": "vitest", "pw.json": "playwright", "deep.json": "playwright"}
+    assert {r.node_id for r in reports.read_runs(spark, f"{tmp_path}/*.json").collect()} >= {"t::a", "A > B > c", "[mock] › group › works"}
     a, b = spark.createDataFrame([("x",), ("y",)], "node_id string"), spark.createDataFrame([("y",), ("z",)], "node_id string")
     assert {tuple(r) for r in reports.cross_check(a, b).collect()} == {("x", "collected"), ("z", "reported")}
 
@@ -59,7 +70,18 @@ def test_streams(spark, tmp_path):
     rows = [(n, dt(2025, 1, 1 + n // 4, n % 4), n % 3, "click", 1.0, None) for n in range(20)] + [(99, None, 1, "click", 1.0, None)]
     spark.createDataFrame(rows, incremental.EVENTS).repartition(3).write.parquet(f"{tmp_path}/events")
     source = incremental.read_events(spark, f"{tmp_path}/events", files_per_batch=1)
-    out = incremental.latest_by_key(source.select("user_id", "ts", "event_id"), Scratch(spark, "t"), ["user_id"], ["ts", "event_id"])
-    assert {(r.user_id, r.event_id) for r in out.collect()} == {(0, 18), (1, 19), (2, 17)}
+    state = f"file://{tmp_path}/state"
+    run = lambda: {(r.user_id, r.event_id) for r in incremental.latest_by_key(incremental.read_events(spark, f"{tmp_path}/events", files_per_batch=1).select("user_id", "ts", "event_id"), state, ["user_id"], ["ts", "event_id"], compact=2).collect()}
+    assert run() == {(0, 18), (1, 19), (2, 17)}
+    assert run() == {(0, 18), (1, 19), (2, 17)}  # nothing new, nothing lost
+    spark.createDataFrame([(50, dt(2026, 1, 1), 1, "click", 1.0, None), (51, dt(2020, 1, 1), 2, "click", 1.0, None)], incremental.EVENTS).write.mode("append").parquet(f"{tmp_path}/events")
+    assert run() == {(0, 18), (1, 50), (2, 17)}
+    # A batch that was written but not committed runs again.
+    last = max((tmp_path / "state/checkpoint/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == {(0, 18), (1, 50), (2, 17)}
+    shutil.rmtree(tmp_path / "events")
+    spark.createDataFrame(rows, incremental.EVENTS).repartition(3).write.parquet(f"{tmp_path}/events")
     daily = incremental.tumbling(incremental.read_events(spark, f"{tmp_path}/events", files_per_batch=10)).drop("total")
     assert {r.n for r in incremental.drain(daily, daily.schema, Scratch(spark, "t"), "d").collect()} == {4}
