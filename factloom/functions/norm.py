@@ -100,6 +100,22 @@ def fold(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"[\s\-_./]+", "")
 
 
+def split_camel(text: Column) -> Column:
+    """A blank between a small letter or digit and a capital."""
+    return F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
+
+
+def entity_name(text: Column) -> Column:
+    """A name without case and punctuation, in single blanks; hyphens and underscores stay, as they tell names apart."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9_\s-]", ""), r"\s+", " "))
+
+
+def without_kind(text: Column, kinds: list[str]) -> Column:
+    """A name without a kind and a colon before it."""
+    rest = F.trim(F.substring(text, F.locate(":", text) + 1, F.length(text)))
+    return F.when(text.contains(":") & F.lower(F.trim(F.split_part(text, F.lit(":"), F.lit(1)))).isin(*kinds) & (rest != ""), rest).otherwise(text)
+
+
 def numbers(text: Column) -> Column:
     """The distinct numbers of a text, sorted as text; trailing zeros of decimals do not count."""
     found = F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))

@@ -56,14 +56,12 @@ def descendants(edges: DataFrame, together: int = 4) -> DataFrame:
     loop and what hangs below it there are the rows of the hanging nodes among themselves, and the loop is named by ``root_id`` of
     :func:`hierarchy`. A leaf gives no row; an empty table gives none.
     """
-    nodes = _expanded(*_contracted(edges, together, 400)).where("status <> 'loop'")
-    up = nodes.select("id", F.split("path", ">").alias("p"))
-    # The path of a node below a loop begins on the loop.
-    up = up.join(nodes.select(F.col("id"), (F.col("status") == "below").alias("b")), "id")
-    above = up.select("id", F.size("p").alias("n"), "b", F.posexplode("p").alias("at", "node_id"))
-    return above.where((F.col("at") < F.col("n") - 1) & ~(F.col("b") & (F.col("at") == 0))).select(
-        "node_id", F.col("id").alias("below_id"), (F.col("n") - 1 - F.col("at")).cast("int").alias("distance")
-    )
+    nodes = _expanded(*_contracted(edges, together, 400))
+    up = nodes.where("status <> 'loop'").select("id", F.split("path", ">").alias("p"))
+    above = up.select("id", F.size("p").alias("n"), F.posexplode("p").alias("at", "node_id")).where(F.col("at") < F.col("n") - 1)
+    # The path of a node below a loop begins with nodes of the loop.
+    loops = nodes.where("status = 'loop'").select(F.col("id").alias("node_id"))
+    return above.join(loops, "node_id", "left_anti").select("node_id", F.col("id").alias("below_id"), (F.col("n") - 1 - F.col("at")).cast("int").alias("distance"))
 
 
 _LIVE = "struct<id:string,parent:string,leaf:boolean,len:bigint,hid:bigint,acc:bigint,seg:string,turn:int>"

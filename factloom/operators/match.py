@@ -51,6 +51,44 @@ def bounds_conflict(a: Column, b: Column) -> Column:
     return F.exists(odd, lambda e: F.array_contains(both, key(e)))
 
 
+# How texts name status codes, classes of them and places in an order, none of which is a quantity; and the shapes of numbers, the first that fits.
+HTTP_CODE = r"(http|status)( code)? [1-5][0-9][0-9]"
+CODE_CLASS = r"[1-5]xx"
+ORDINAL = r"[0-9]+(st|nd|rd|th)"
+NUMBER = r"\$[0-9][0-9,]*(?:\.[0-9]+)?|[0-9][0-9,]*(?:\.[0-9]+)?%|[0-9]{1,2}:[0-9]{2}|[0-9][0-9,]*(?:\.[0-9]+)?"
+
+
+def number_tokens(text: Column) -> Column:
+    """The numbers of a text in order, with the mark of their kind; thousands commas and zeros after the point do not count."""
+    t = F.lower(text)
+    for pattern in (HTTP_CODE, CODE_CLASS, ORDINAL):
+        t = F.regexp_replace(t, pattern, " ")
+    bare = lambda x: F.regexp_replace(x, ",", "")
+    cut = lambda x: F.regexp_replace(F.regexp_replace(x, "0+(%?)$", "$1"), r"\.(%?)$", "$1")
+    return F.transform(F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)), lambda x: F.when(x.contains(".") & ~x.contains(":"), cut(bare(x))).otherwise(bare(x)))
+
+
+def number_kind(token: Column) -> Column:
+    """money, percent, time or plain."""
+    return F.when(token.startswith("$"), "money").when(token.endswith("%"), "percent").when(token.contains(":"), "time").otherwise("plain")
+
+
+def words(text: Column) -> Column:
+    """The words of a text in order, hyphens and underscores apart, without punctuation and the s of a plural."""
+    plain = norm.plain(F.regexp_replace(text, "[-_]+", " "))
+    kept = F.filter(F.split(plain, " "), lambda w: w != "")
+    plural = lambda w: (F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss")
+    return F.transform(kept, lambda w: F.when(plural(w), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+
+
+def multiset_overlap(a: Column, b: Column) -> Column:
+    """Shared words over those of the shorter list, a word as often as both have it; 0 where a list is empty."""
+    times = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
+    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.round(shared / least, 6)).otherwise(F.lit(0.0))
+
+
 def overlap_coefficient(a: Column, b: Column) -> Column:
     """Shared distinct terms over the smaller number of them; 0 where one side has none."""
     x, y = F.array_distinct(norm.terms(a)), F.array_distinct(norm.terms(b))

@@ -57,40 +57,44 @@ def cosine(a: Column, b: Column) -> Column:
 BLOCK_NUMBERS = 8_000_000
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, id: str, embedding: str, limit: int = 20, floor: float | None = None, group: str | None = None) -> DataFrame:
-    """For every query (``q, embedding``) the vectors of largest cosine: ``q, id, score, rank``, ties by id; with ``group`` the best of every group.
+def vector_search(vectors: DataFrame, queries: DataFrame, id: str, embedding: str, limit: int = 20, floor: float | None = None, group: str | None = None, within: str | None = None) -> DataFrame:
+    """For every query (``q, embedding``) the vectors of largest cosine: ``q, id, score, rank``, ties by id; with ``group`` the best of every group, with ``within`` only
+    vectors that have the query's value in that column.
 
     Cosines are rounded to six digits, 0 where a norm is 0; vectors of another dimension, null or empty ones or with null numbers are not compared. Queries
     are taken in blocks of a bounded size, each broadcast to all vectors; a batch of rows is one matrix product, of which every task keeps its best.
     """
     spark = vectors.sparkSession
     whole = lambda df: df.where((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
-    asked = whole(queries.where("q IS NOT NULL").select("q", F.col("embedding").cast("array<double>").alias("embedding")))
+    asked = whole(queries.where("q IS NOT NULL").select("q", (F.col(within).cast("string") if within else F.lit("")).alias("_w"), F.col("embedding").cast("array<double>").alias("embedding")))
     width = asked.agg(F.max(F.size("embedding")), F.count("*")).first()
     blocks = max(1, -(-(width[0] or 0) * width[1] // BLOCK_NUMBERS))
     kept = [id, *([group] if group else [])]
-    rows = whole(vectors.where(F.col(id).isNotNull()).select(*kept, F.col(embedding).cast("array<double>").alias("embedding")))
+    rows = whole(vectors.where(F.col(id).isNotNull()).select(*kept, (F.col(within).cast("string") if within else F.lit("")).alias("_w"), F.col(embedding).cast("array<double>").alias("embedding")))
     kinds = dict(rows.dtypes) | dict(asked.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ["q", *kept]) + ", score double"
     found = None
     for n in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n).collect()
-        by: dict[int, list] = {}
+        by: dict[tuple, list] = {}
         for r in part:
-            by.setdefault(len(r["embedding"]), []).append(r)
+            by.setdefault((r["_w"], len(r["embedding"])), []).append(r)
         table = spark.sparkContext.broadcast({d: (np.array([r["q"] for r in rs], object), np.array([r["embedding"] for r in rs])) for d, rs in by.items()})
 
         def work(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             unit = lambda m: m / np.maximum(np.sqrt(np.einsum("ij,ij->i", m, m)), 1e-300)[:, None]
             for batch in batches:
-                lists = batch.column(len(kept))
+                lists, places = batch.column(len(kept) + 1), batch.column(len(kept)).to_pylist()
                 lengths, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
                 starts = np.cumsum(lengths) - lengths
-                for dim in np.unique(lengths).tolist():
-                    if dim not in table.value:
+                at_: dict[tuple, list[int]] = {}
+                for n_, key in enumerate(zip(places, lengths.tolist())):
+                    at_.setdefault(key, []).append(n_)
+                for key, found_ in at_.items():
+                    if key not in table.value:
                         continue
-                    names, matrix = table.value[dim]
-                    at = np.nonzero(lengths == dim)[0]
+                    names, matrix = table.value[key]
+                    dim, at = key[1], np.array(found_)
                     sims = np.round(unit(matrix) @ unit(flat[starts[at][:, None] + np.arange(dim)]).T, 6) + 0.0
                     if group is None and len(at) > limit:
                         least = np.partition(sims, len(at) - limit, axis=1)[:, len(at) - limit]

@@ -289,6 +289,8 @@ def _fused(source: str) -> str:
     return f"SELECT q, id, score FROM {_best(f'(SELECT q, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) score FROM {both} GROUP BY 1, 2)', 10)}"
 
 
+_HYBRID = _fused(_SAID)
+
 ORACLE = {
     "normalize_statements": rf"SELECT id, md5(regexp_replace(regexp_replace(trim(lower(statement)), '\s+', ' ', 'g'), '[ .]+$', '')) digest FROM {STORED} WHERE statement IS NOT NULL",
     "normalize_units": f"SELECT CASE WHEN u NOT IN ('', 'none', 'null') THEN {_UNIT} END unit, count(*) n FROM (SELECT lower(trim(claim_unit)) u FROM {STORED} WHERE claim_unit IS NOT NULL) GROUP BY 1",
@@ -323,7 +325,7 @@ ORACLE = {
       w AS (SELECT term, ln(((SELECT count(*) FROM {_SAID}) + 1) / count(DISTINCT id)) w FROM h GROUP BY 1), s AS (SELECT q, id, round(sum(w), 6) score FROM h JOIN w USING (term) GROUP BY 1, 2) SELECT q, id, score FROM {_best('s', 20)}""",
     "vector_topk": f"SELECT q, vec_id, score FROM (SELECT q.q, vec_id, {_COS} score, row_number() OVER (PARTITION BY q.q ORDER BY {_COS} DESC, vec_id) r FROM embeddings e, {_ASKED} q) WHERE r <= 20",
     "vector_nearest_by_kind": f"SELECT q, label, vec_id, score FROM (SELECT q.q, label, vec_id, {_COS} score, row_number() OVER (PARTITION BY q.q, label ORDER BY {_COS} DESC, vec_id) r FROM embeddings e, {_ASKED} q) WHERE r = 1",
-    "hybrid_rrf": _fused(_SAID),
+    "hybrid_rrf": _HYBRID,
     "search_filtered": _fused(f"(SELECT * FROM {_SAID} WHERE category = 'business-logic' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2025-06-01'))"),
     "ask_candidates": f"""WITH t AS (SELECT id, tier, invalid_at, unnest(list_distinct({_terms('said')})) term FROM {_SAID}),
       s AS (SELECT q, id, tier, round(count(*) / max(size) * CASE WHEN invalid_at IS NULL THEN 1.0 ELSE 0.5 END, 6) score FROM t JOIN {_QT} USING (term) GROUP BY q, id, tier, invalid_at)

@@ -168,7 +168,7 @@ def recency(spark: SparkSession, sf: str) -> DataFrame:
 
 def supersession_rank(spark: SparkSession, sf: str) -> DataFrame:
     """How many facts of a claim were closed before each fact began: a running count per key."""
-    w = W.partitionBy("entity", "attribute").orderBy("valid_us", "id").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy("entity", "attribute").orderBy(F.col("valid_us").asc_nulls_last(), "id").rowsBetween(W.unboundedPreceding, -1)
     closed = F.coalesce(F.sum(F.when(F.col("invalid_us").isNotNull(), 1).otherwise(0)).over(w), F.lit(0))
     return fact(spark, sf).select("id", closed.alias("closed_before"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import problems, q_eval, q_facts, q_temporal, q_text, q_upkeep
+from factloom.plans import problems, q_eval, q_facts, q_records, q_temporal, q_text, q_upkeep
 
-MODULES = [problems, q_facts, q_temporal, q_text, q_eval, q_upkeep]
+MODULES = [problems, q_facts, q_temporal, q_text, q_eval, q_upkeep, q_records]
 
 
 def queries() -> dict:
