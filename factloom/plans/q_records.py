@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import norm
-from factloom.operators import contradict, evaluate, match, resolve, runs, search, temporal
+from factloom.operators import contradict, evaluate, match, search, temporal
 from factloom.plans.q_eval import _BOUND, _NEG, _NORM, _NUMS, _OUT, _terms
 from factloom.plans.q_facts import _pairs
 from factloom.plans.q_temporal import _STATES, _states
-from factloom.plans.q_text import _FOLD, _HYBRID, hybrid_rrf
+from factloom.plans.q_text import _HYBRID, hybrid_rrf
 from factloom.plans.views import FACT, RANK, REGISTRY, RUNS, STORED, fact, registry, runs as run_view, stored
 from factloom.session import table
 
@@ -54,8 +54,8 @@ def claim_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 def money_text(spark: SparkSession, sf: str) -> DataFrame:
     """Amounts of money with two digits, as a text would show them."""
-    rows = stored(spark, sf, "claim_number", "claim_unit").where("claim_number IS NOT NULL AND NOT isnan(claim_number)")
-    money = norm.unit(F.col("claim_unit")) == "usd"
+    rows = stored(spark, sf, "claim_number", "claim_attribute").where("claim_number IS NOT NULL AND NOT isnan(claim_number)")
+    money = norm.infer_unit(F.col("claim_attribute")) == "usd"
     return rows.where(money).select("id", F.format_string("$%.2f", F.round("claim_number", 2)).alias("text"))
 
 
@@ -89,17 +89,16 @@ def contradictions_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prose(spark: SparkSession, sf: str) -> DataFrame:
-    """``entity, name, text, n, documented``: what facts without a claim say about the catalog entries that they name (teams and services are no subject), by statement."""
-    facts = stored(spark, sf, "statement", "claim_entity", "tier", "expired_at").where("claim_entity IS NULL AND expired_at IS NULL AND statement IS NOT NULL")
-    c = table(spark, sf, "entity_catalog").where("kind NOT IN ('service', 'team')")
-    labels = c.select("id", F.col("name").alias("label")).unionByName(c.select("id", F.explode("aliases").alias("label")))
-    named = resolve.mentions(facts.select(F.col("id").alias("fact_id"), "statement"), labels, "fact_id", "statement").withColumnRenamed("entity_id", "entity")
-    rows = facts.join(named, facts["id"] == named["fact_id"]).select("entity", "id", "statement", "tier")
+    """``entity, name, text, n, documented``: what facts without a claim say about the entity of the text that they cite (a team or service is no subject), by statement."""
+    facts = stored(spark, sf, "statement", "claim_entity", "tier", "expired_at", "document_id").where("claim_entity IS NULL AND expired_at IS NULL AND statement IS NOT NULL AND document_id IS NOT NULL")
+    hubs = table(spark, sf, "entity_catalog").where("kind IN ('service', 'team')").select(F.col("id").alias("entity"))
+    about = table(spark, sf, "documents").where("document_id IS NOT NULL AND entity_id IS NOT NULL").select("document_id", F.col("entity_id").alias("entity")).distinct()
+    rows = facts.join(about, "document_id").join(hubs, "entity", "left_anti")
     return rows.groupBy("entity", norm.statement(F.col("statement")).alias("text")).agg(F.min("id").alias("name"), F.count("*").alias("n"), F.max((F.col("tier") == "documented").cast("int")).alias("documented"))
 
 
 def prose_contradictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates among statements without a claim: about one entry, one of them from a page, a third of the terms shared, and another denial or other numbers."""
+    """Candidates among statements without a claim: about one entity, one of them from a page, a third of the terms shared, and another denial or other numbers."""
     texts = _prose(spark, sf)
     pairs = match.term_pairs(texts, ["entity"], 0.35)
     side = lambda c: texts.select("entity", F.col("name").alias(c), F.col("text").alias(f"t_{c}"), F.col("documented").alias(f"d_{c}"))
@@ -293,18 +292,15 @@ ORACLE = {
     "fact_display": f"""SELECT id, coalesce(name, f.entity) AS name, "attribute", concat_ws(' ', "value", unit) shown FROM {FACT} f LEFT JOIN {_NAMES} n ON n.entity = f.entity WHERE "value" IS NOT NULL""",
     "test_nodes": f"SELECT CASE WHEN contains(k, 'tests/') AND (starts_with(k, '/') OR starts_with(k, 'tests/')) THEN regexp_replace(k, '^(/[^:]*/)?tests/', 'tests/') ELSE k END node, count(*) n_facts, min(id) first_id FROM (SELECT id, substr(source_key, 6) k FROM {STORED} WHERE source_key LIKE 'test:%') GROUP BY 1",
     "claim_payload": f"""SELECT id, CAST(json_object('entity', entity, 'attribute', "attribute", 'value', "value", 'unit', unit) AS VARCHAR) payload FROM {FACT} WHERE "value" IS NOT NULL AND unit IS NOT NULL""",
-    "money_text": f"SELECT id, printf('$%.2f', round(claim_number, 2)) AS \"text\" FROM {STORED} WHERE claim_number IS NOT NULL AND NOT isnan(claim_number) AND lower(trim(claim_unit)) IN ('usd', '$', 'dollar', 'dollars')",
+    "money_text": f"SELECT id, printf('$%.2f', round(claim_number, 2)) AS \"text\" FROM {STORED} WHERE claim_number IS NOT NULL AND NOT isnan(claim_number) AND regexp_matches(lower(claim_attribute), 'fee|price|amount|rate|cost') AND NOT regexp_matches(lower(claim_attribute), '(minute|day|hour|second)s?([^a-z]|$)')",
     "facts_by_category": f"SELECT tier, count(*) n FROM {STORED} WHERE category = 'business-logic' AND expired_at IS NULL GROUP BY 1",
     "never_skipped": f"SELECT node, count(*) n FROM {RUNS} GROUP BY 1 HAVING count(*) FILTER (outcome = 'skipped') = 0",
     "contradictions_in_scope": f"SELECT CAST(s.range AS INTEGER) step, count(*) n FROM {_pairs(FACT)} p JOIN range(7) s ON opened_us IS NULL OR opened_us <= (s.range * 120 + 19723) * 86400000000 GROUP BY 1",
     "contradictions_upsert": f"""SELECT CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'resolved' ELSE 'kept' END AS "state", count(*) n, min(least(o.opened_us, n.opened_us)) first_us
       FROM {_pairs(FACT, 'AND created_us <= 1748736000000000')} o FULL OUTER JOIN {_pairs(FACT)} n ON o.id = n.id GROUP BY 1""",
-    "prose_contradictions": rf"""WITH l AS (SELECT DISTINCT id e, {_FOLD.format('label')} f FROM (SELECT id, kind, name label FROM entity_catalog UNION ALL SELECT id, kind, unnest(aliases) FROM entity_catalog) WHERE label IS NOT NULL AND kind NOT IN ('service', 'team')),
-      s AS (SELECT id, statement, tier, {_NORM} t FROM {STORED} WHERE claim_entity IS NULL AND expired_at IS NULL AND statement IS NOT NULL),
-      w AS (SELECT id, regexp_extract_all(lower(statement), '[a-z0-9_./\-]+') w FROM s),
-      r AS (SELECT id, {_FOLD.format("array_to_string(w[i:i + n - 1], '')")} f FROM (SELECT id, w, n, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) i FROM w, (SELECT unnest([1, 2, 3, 4]) n) WHERE len(w) > 0)),
-      m AS (SELECT DISTINCT r.id, l.e FROM r JOIN l ON r.f = l.f WHERE length(l.f) >= 4),
-      c AS (SELECT e, t, min(id) n, max(tier = 'documented') d, {_terms('t')} w FROM s JOIN m USING (id) GROUP BY e, t),
+    "prose_contradictions": rf"""WITH m AS (SELECT DISTINCT document_id, entity_id e FROM documents WHERE document_id IS NOT NULL AND entity_id IS NOT NULL AND entity_id NOT IN (SELECT id FROM entity_catalog WHERE kind IN ('service', 'team'))),
+      s AS (SELECT id, tier, document_id, {_NORM} t FROM {STORED} WHERE claim_entity IS NULL AND expired_at IS NULL AND statement IS NOT NULL),
+      c AS (SELECT e, t, min(id) n, max(tier = 'documented') d, {_terms('t')} w FROM s JOIN m USING (document_id) GROUP BY e, t),
       p AS (SELECT x.n a, y.n b, x.t ta, y.t tb, {_OVER} o FROM c x JOIN c y ON x.e = y.e AND x.n < y.n AND len(x.w) > 0 AND len(y.w) > 0 WHERE x.d OR y.d)
       SELECT DISTINCT a, b FROM p WHERE o >= 0.35 AND ({_NEG.format('ta')} <> {_NEG.format('tb')} OR (len({_NUMS.format('ta')}) > 0 AND len({_NUMS.format('tb')}) > 0 AND list_sort({_NUMS.format('ta')}) <> list_sort({_NUMS.format('tb')})))""",
     "document_facts": f"SELECT document_id, CAST(r AS INTEGER) place, id FROM (SELECT document_id, id, row_number() OVER (PARTITION BY document_id ORDER BY {RANK.format('tier')} DESC, valid_at DESC NULLS LAST, id) r FROM {STORED} WHERE document_id IS NOT NULL) WHERE r <= 3",
@@ -336,8 +332,8 @@ ORACLE = {
     "ingest_report": f"""SELECT count(*) AS "rows", count(DISTINCT base_id) facts, count(claim_entity) claims, count(DISTINCT claim_entity) entities, count(DISTINCT document_id) documents, count(*) FILTER (tier = 'executed') executed,
       count(*) FILTER (tier = 'code') code, count(*) FILTER (tier = 'documented') documented FROM {STORED}""",
     "nearest_in_kind": """WITH e AS (SELECT id, kind, any_value(CAST(embedding AS DOUBLE[])) v FROM entity WHERE id IS NOT NULL AND kind IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 GROUP BY 1, 2)
-      SELECT q.id q, max(round(coalesce(list_cosine_similarity(q.v, e.v), 0), 6)) score FROM e q JOIN e ON q.kind = e.kind AND q.id <> e.id AND len(q.v) = len(e.v) WHERE CAST('0x' || substr(q.id, 3) AS BIGINT) % 20 = 0
-        AND round(coalesce(list_cosine_similarity(q.v, e.v), 0), 6) >= 0.8 GROUP BY 1""",
+      SELECT q.id q, max(round(CASE WHEN isnan(list_cosine_similarity(q.v, e.v)) THEN 0 ELSE list_cosine_similarity(q.v, e.v) END, 6)) score FROM e q JOIN e ON q.kind = e.kind AND q.id <> e.id AND len(q.v) = len(e.v) WHERE CAST('0x' || substr(q.id, 3) AS BIGINT) % 20 = 0
+        AND round(CASE WHEN isnan(list_cosine_similarity(q.v, e.v)) THEN 0 ELSE list_cosine_similarity(q.v, e.v) END, 6) >= 0.8 GROUP BY 1""",
     "upsert_plan": f"""WITH r AS (SELECT * FROM {STORED} WHERE base_id IS NOT NULL), l AS (SELECT * FROM (SELECT base_id, invalid_at i, expired_at x, row_number() OVER (PARTITION BY base_id ORDER BY coalesce(valid_at, TIMESTAMP '0001-01-01') DESC, id DESC) n FROM r WHERE created_at < TIMESTAMP '{_CUT}') WHERE n = 1)
       SELECT id, CASE WHEN document_id IS NULL THEN 'rejected' WHEN l.base_id IS NULL THEN 'new' WHEN x IS NOT NULL OR coalesce(i IS NOT NULL AND ((valid_at IS NOT NULL AND valid_at >= i) OR (tier = 'documented' AND invalid_at IS NULL)), false) THEN 'next episode' ELSE 'merged' END plan
       FROM r LEFT JOIN l USING (base_id) WHERE created_at >= TIMESTAMP '{_CUT}'""",
