@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from factloom.session import spread
 
-#: Words whose ids, and token pairs whose compatibility, a task keeps at most; beyond that it starts anew.
-CACHE = 400_000
+#: Words whose ids, and token pairs whose compatibility, a task keeps at most; beyond that, or beyond so many letters in all, it starts anew.
+CACHE, CACHE_LETTERS = 400_000, 8_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -45,6 +45,7 @@ class PrefixEncoder:
             self.automaton.add_word(token.decode("latin-1"), (n, len(token)))
         self.automaton.make_automaton()
         self.known: dict[str, list[int]] = {}
+        self.letters = 0
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, text: bytes) -> list[bytes]:
@@ -90,9 +91,12 @@ class PrefixEncoder:
         for word in self.words(text):
             ids = self.known.get(word)
             if ids is None:
-                if len(self.known) >= CACHE:
+                ids = self.encode_bytes(word.encode("utf-8", "replace"))
+                self.letters += len(word)
+                if len(self.known) >= CACHE or self.letters > CACHE_LETTERS:
                     self.known.clear()
-                ids = self.known[word] = self.encode_bytes(word.encode("utf-8", "replace"))
+                    self.letters = len(word)
+                self.known[word] = ids
             out += ids
         return out
 

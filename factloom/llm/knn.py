@@ -273,6 +273,7 @@ def neighbour_graph(
         joined = graph.withColumn("new", F.lit(False)).unionByName(_both_ways(better).withColumn("new", F.lit(True)))
         step = scratch.save(_top(joined, k, keep=("new",)), "graph")
         scratch.drop(graph)
+        scratch.drop(better)
         graph = step
         sizes = graph.agg(F.count("*").alias("n"), F.count_if("new").alias("new")).first()
         if sizes["new"] <= delta * sizes["n"]:
@@ -309,6 +310,7 @@ def _descend(coded: DataFrame, graph: DataFrame, scratch: Scratch, k: int, floor
     few = count <= BROADCAST_PAIRS and count <= BROADCAST_SHARE * coded.count()
     scored = score(fresh, coded, few).where(F.col("sim") >= floor)
     better = scratch.save(scored.select(F.col("a").alias("u"), F.col("b").alias("v"), "sim"), "better")
+    scratch.drop(fresh)
     return None if better.isEmpty() else better
 
 
