@@ -161,11 +161,14 @@ def _expanded(scratch: Scratch, records: list[DataFrame]) -> DataFrame:
         F.when(gone["parent"].isNull(), F.col("key")).alias("root"), F.when(gone["parent"].isNull(), gone["tag"] == "core").alias("core"), F.coalesce(gone["tag"] == "core", F.lit(False)).alias("loop"),
     )
     rows = scratch.save(rows, "resolved")
+    for table in records:
+        scratch.drop(table)
     while not rows.where("up IS NOT NULL OR down IS NOT NULL").isEmpty():
         above = rows.select(F.col("id").alias("up"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("path").alias("a_path"), F.col("root").alias("a_root"), F.col("core").alias("a_core"))
         under = rows.select(F.col("id").alias("down"), F.col("down").alias("u_down"), F.col("below").alias("u_below"), F.col("loop").alias("u_loop"))
         wide = rows.join(above, "up", "left").join(under, "down", "left")
         has = F.col("up").isNotNull()
+        before = rows
         rows = scratch.save(
             wide.select(
                 "id", F.col("a_up").alias("up"), F.col("u_down").alias("down"), F.when(has, F.col("a_depth") + F.col("depth")).otherwise(F.col("depth")).alias("depth"),
@@ -177,6 +180,7 @@ def _expanded(scratch: Scratch, records: list[DataFrame]) -> DataFrame:
             ),
             "resolved",
         )
+        scratch.drop(before)
     status = F.when(F.col("loop"), "loop").when(F.col("core"), "below").otherwise("tree")
     return rows.select("id", "root", status.alias("status"), F.col("depth").cast("int").alias("depth"), "path", F.col("below").cast("int").alias("below"))
 

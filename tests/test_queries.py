@@ -41,6 +41,31 @@ def test_queries_without_sql_are_few():
     assert set(QUERIES) - set(SQL) == {"p5_found", "greedy_assignment"}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name, pushed",
+    [("facts_since", "GreaterThanOrEqual(valid_at"), ("facts_current", "IsNull(expired_at)"), ("facts_held_after", "GreaterThan(invalid_at"), ("facts_citing", "EqualTo(kind,wiki)"), ("upsert_plan", "GreaterThanOrEqual(created_at"),
+     ("facts_by_category", "EqualTo(category,business-logic)"), ("supersede_fold", "IsNotNull(superseded_by)"), ("excluded_paths", "EqualTo(kind,code)")],
+)
+def test_conditions_reach_the_scan(spark, name, pushed):
+    assert pushed in plan(QUERIES[name](spark, SF)).split("PushedFilters", 1)[1]
+
+
+@pytest.mark.parametrize("name", ["explain_rank", "episodes_latest", "fact_citations", "supersede_fold"])
+def test_repeated_rows_cost_no_shuffle_of_the_table(spark, name):
+    import re
+
+    assert not re.search(r"hashpartitioning\(id#\d+,", plan(QUERIES[name](spark, SF)))
+
+
+def test_hash_embedding_and_bootstrap_shuffle_no_rows(spark):
+    assert plan(QUERIES["hash_embedding"](spark, SF)).count("Exchange") <= 1  # the distinct facts
+    assert "Join" not in plan(QUERIES["bootstrap_ci"](spark, SF))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
