@@ -162,7 +162,7 @@ def statement_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def greedy_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Executed facts of an entity, the latest first, assigned one to one to its documented ones by the terms that their statements share (0.3 or more)."""
+    """Executed facts of an entity, the latest first, assigned one to one to its documented ones whose statements match: the same, or no veto and 0.6 of the terms shared."""
     rows = stored(spark, sf, "claim_entity", "statement", "tier", "valid_at").where("claim_entity IS NOT NULL AND statement IS NOT NULL")
     said = rows.select("id", "claim_entity", "tier", "valid_at", norm.statement(F.col("statement")).alias("text"))
     names = match.statement_classes(stored(spark, sf, "claim_entity", "statement"), ["claim_entity"])
@@ -170,7 +170,9 @@ def greedy_assignment(spark: SparkSession, sf: str) -> DataFrame:
     ordinal = -F.coalesce(F.unix_micros(F.col("valid_at").cast("timestamp")), F.lit(-(2**62)))
     got = facts.where("tier = 'executed'").select("grp", F.col("id").alias("returned"), "side", ordinal.alias("ordinal"))
     want = facts.where("tier = 'documented'").select("grp", F.col("id").alias("expected"), "side")
-    near = match.term_pairs(names, ["claim_entity"], 0.3)
+    near = match.term_pairs(names, ["claim_entity"], 0.6)
+    text = lambda c: names.select("claim_entity", F.col("name").alias(c), F.col("text").alias(f"t_{c}"))
+    near = near.join(text("a"), ["claim_entity", "a"]).join(text("b"), ["claim_entity", "b"]).where(match.statements_match(F.col("t_a"), F.col("t_b")))
     ends = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     same = names.select("claim_entity", F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("score"))
     pairs = near.select("claim_entity", F.col("overlap").alias("score"), ends).select("claim_entity", "a", "b", "score").unionByName(same).withColumnRenamed("claim_entity", "grp")
