@@ -13,17 +13,25 @@ _LAST = 2**62
 
 
 def _held(facts: DataFrame) -> DataFrame:
-    """Per entity, attribute, value and unit: the unbroken times it was held (``start, stop``), from the facts' periods; repeats are folded before anything is sorted."""
+    """Per entity, attribute, value and unit: the unbroken times it was held (``start, stop``), from the facts' periods, with the smallest id and the ``best`` fact of the value.
+
+    Repeats are folded before anything is sorted.
+    """
     key = ["entity", "attribute", "value", "unit"]
-    ends = facts.groupBy(*key, F.coalesce("valid_us", F.lit(-_LAST)).alias("start")).agg(F.max(F.coalesce("invalid_us", F.lit(_LAST))).alias("stop"))
+    rank = F.struct(norm.tier_rank("tier").alias("rank"), F.coalesce("valid_us", F.lit(-_LAST)).alias("v"), F.coalesce("created_us", F.lit(-_LAST)).alias("c"))
+    ends = facts.groupBy(*key, F.coalesce("valid_us", F.lit(-_LAST)).alias("start")).agg(
+        F.max(F.coalesce("invalid_us", F.lit(_LAST))).alias("stop"), F.min("id").alias("name"), F.max(rank).alias("best")
+    )
     w = W.partitionBy(*key).orderBy("start")
-    before = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = ends.where("stop > start").withColumn("fresh", F.when(before >= F.col("start"), 0).otherwise(1))
+    real = F.when(F.col("stop") > F.col("start"), F.col("stop"))  # an empty period names its value but holds nothing
+    before = F.max(real).over(w.rowsBetween(W.unboundedPreceding, -1))
+    whole = W.partitionBy(*key)
+    marked = ends.withColumns({"name": F.min("name").over(whole), "best": F.max("best").over(whole), "fresh": F.when(before >= F.col("start"), 0).otherwise(1)})
     marked = marked.withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return marked.where("stop > start").groupBy(*key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("name").alias("name"), F.first("best").alias("best"))
 
 
-def claim_contradictions(facts: DataFrame, slices: int = 32) -> DataFrame:
+def claim_contradictions(facts: DataFrame, slices: int = 32, least: int = 64) -> DataFrame:
     """Pairs of different values of one entity and attribute with compatible units that were held at one time: ``id, a, b, winner, opened_us, entity, attribute``.
 
     ``facts`` has ``id, entity, attribute, value, unit, tier, valid_us, invalid_us, created_us, expired_us``; expired ones and those without a value do not count.
@@ -32,35 +40,26 @@ def claim_contradictions(facts: DataFrame, slices: int = 32) -> DataFrame:
     start, then later storing (b on a tie), of each class's best fact. ``opened_us`` is when the two values first were held together.
 
     What is compared is never facts but the unbroken times of values, and these only within slices of time: a key's times are cut at up to
-    ``slices`` quantiles of their starts, and a long one is seen once in every slice that it covers. So a key with a third of all facts costs
+    ``slices`` quantiles of their starts (``least`` or more in each), and a long one is seen once in every slice that it covers. So a key with a third of all facts costs
     what its values and their changes cost, and its slices are apart.
     """
     live = facts.where("expired_us IS NULL AND value IS NOT NULL")
     key = ["entity", "attribute"]
-    rank = F.struct(norm.tier_rank("tier").alias("rank"), F.coalesce("valid_us", F.lit(-_LAST)).alias("v"), F.coalesce("created_us", F.lit(-_LAST)).alias("c"))
-    classes = live.groupBy(*key, "value", "unit").agg(F.min("id").alias("name"), F.max(rank).alias("best"))
     held = _held(live)
-    cuts = held.groupBy(*key).agg(F.percentile_approx("start", [n / slices for n in range(1, slices)], 200).alias("cuts"))
-    several = held.groupBy(*key).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*key)
+    cuts = held.groupBy(*key).agg(F.percentile_approx("start", [n / slices for n in range(1, slices)], 200).alias("cuts"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    # A slice has 64 times or more: most keys have but one.
+    step = F.ceil(F.lit(slices) / F.greatest(F.lit(1), F.floor(F.col("n") / least)))
+    cuts = cuts.withColumn("cuts", F.filter("cuts", lambda _, i: (F.col("n") >= 2 * least) & ((i + 1) % step == 0)))
     slice_ = lambda t: F.size(F.filter("cuts", lambda c: c <= t))
-    held = held.join(several, key).join(cuts, key)
-    held = held.select(*key, "value", "unit", "start", "stop", F.explode(F.sequence(slice_(F.col("start")), slice_(F.col("stop") - 1))).alias("slice"))
-    a = held.select(*key, "slice", *[F.col(c).alias(f"a_{c}") for c in ("value", "unit", "start", "stop")])
-    b = held.select(*key, "slice", *[F.col(c).alias(f"b_{c}") for c in ("value", "unit", "start", "stop")])
-    met = a.join(b, [*key, "slice"]).where("a_value < b_value AND (a_unit IS NULL OR b_unit IS NULL OR a_unit = b_unit) AND a_start < b_stop AND b_start < a_stop")
-    met = met.groupBy(*key, "a_value", "a_unit", "b_value", "b_unit").agg(F.min(F.greatest("a_start", "b_start")).alias("opened_us"))
-    named = met
-    for side in "ab":
-        mine = classes.select(*key, F.col("value").alias(f"{side}_value"), F.col("unit").alias("u"), F.col("name").alias(f"{side}_name"), F.col("best").alias(f"{side}_best"))
-        named = named.join(mine, [*key, f"{side}_value"]).where(F.col(f"{side}_unit").eqNullSafe(F.col("u"))).drop("u")
+    held = held.join(cuts.select(*key, "cuts"), key)
+    held = held.select(*key, "value", "unit", "start", "stop", "name", "best", F.explode(F.sequence(slice_(F.col("start")), slice_(F.col("stop") - 1))).alias("slice"))
+    columns = ("value", "unit", "start", "stop", "name", "best")
+    a, b = (held.select(*key, "slice", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
+    met = a.join(b, [*key, "slice"]).where("a_name < b_name AND a_value <> b_value AND (a_unit IS NULL OR b_unit IS NULL OR a_unit = b_unit) AND a_start < b_stop AND b_start < a_stop")
+    met = met.groupBy(*key, F.col("a_name").alias("a"), F.col("b_name").alias("b")).agg(F.min(F.greatest("a_start", "b_start")).alias("opened_us"), F.first("a_best").alias("x"), F.first("b_best").alias("y"))
     c = F.col
-    swap = c("a_name") > c("b_name")
-    named = named.select(
-        *key, "opened_us", F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b"),
-        F.when(swap, c("b_best")).otherwise(c("a_best")).alias("x"), F.when(swap, c("a_best")).otherwise(c("b_best")).alias("y"),
-    )
     opened = F.when(c("opened_us") > -_LAST, c("opened_us"))
-    return named.select(identity.contradiction_id(c("a"), c("b")).alias("id"), "a", "b", F.when(c("x") > c("y"), c("a")).otherwise(c("b")).alias("winner"), opened.alias("opened_us"), *key)
+    return met.select(identity.contradiction_id(c("a"), c("b")).alias("id"), "a", "b", F.when(c("x") > c("y"), c("a")).otherwise(c("b")).alias("winner"), opened.alias("opened_us"), *key)
 
 
 def claim_classes(facts: DataFrame) -> DataFrame:

@@ -15,15 +15,13 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, hubs: DataFrame | None
     """
     scratch = Scratch(edges.sparkSession, "reach")
     clean = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
-    barred = hubs.select("id").distinct() if hubs is not None else None
+    ends = F.inline(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("id")), F.struct(F.col("dst").alias("at"), F.col("src").alias("id"))))
+    both = clean.select(ends)  # the edges are read as they are, from either end; only what the frontier touches is shuffled and made distinct
+    barred = scratch.save(hubs.select("id").distinct(), "hubs") if hubs is not None else None
     seen = scratch.save(start.select("id").distinct().withColumn("distance", F.lit(0)), "seen")
     front = seen
     for step in range(1, depth + 1):
-        # The edges are read as they are, from either end; only what the frontier touches is shuffled and made distinct.
-        at = front.select(F.col("id").alias("at"))
-        out = clean.join(at, clean["src"] == at["at"]).select(F.col("dst").alias("id"))
-        back = clean.join(at, clean["dst"] == at["at"]).select(F.col("src").alias("id"))
-        found = out.unionByName(back).distinct().join(seen.select("id"), "id", "left_anti")
+        found = both.join(front.select(F.col("id").alias("at")), "at").select("id").distinct().join(seen.select("id"), "id", "left_anti")
         if barred is not None:
             found = found.join(barred, "id", "left_anti")
         front = scratch.save(found.withColumn("distance", F.lit(step)), "front")

@@ -161,9 +161,10 @@ def hash_embedding(docs: DataFrame, id: str, text: str, dim: int = 384) -> DataF
         sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
         return F.struct((number % dim).cast("int").alias("b"), sign.alias("s"))
 
-    rows = docs.select(id, F.transform(norm.terms(F.col(text)), coded).alias("ts"))
+    # Exploding an array of one keeps the digests a column, which is made once, instead of an expression that every use repeats.
+    rows = docs.select(id, F.explode(F.array(F.transform(norm.terms(F.col(text)), coded))).alias("ts"))
     total = lambda b: F.aggregate(F.filter("ts", lambda t: t["b"] == b), F.lit(0), lambda n, t: n + t["s"])
     sums = F.transform(F.array_distinct(F.transform("ts", lambda t: t["b"])), lambda b: F.struct(b.alias("bucket"), total(b).alias("s")))
-    rows = rows.select(id, F.filter(sums, lambda x: x["s"] != 0).alias("sums"))
+    rows = rows.select(id, F.explode(F.array(F.filter(sums, lambda x: x["s"] != 0))).alias("sums"))
     rows = rows.withColumn("norm", F.sqrt(F.aggregate("sums", F.lit(0).cast("bigint"), lambda n, x: n + x["s"] * x["s"])))
     return rows.select(id, "norm", F.inline("sums")).select(id, "bucket", F.round(F.col("s") / F.col("norm"), 6).alias("weight"))

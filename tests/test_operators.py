@@ -45,7 +45,7 @@ def test_contradictions_and_staleness(spark):
     ]
     df = spark.createDataFrame(rows, FACT)
     for slices in (32, 2):
-        got = {(r.a, r.b): (r.winner, r.opened_us) for r in contradict.claim_contradictions(df, slices).collect()}
+        got = {(r.a, r.b): (r.winner, r.opened_us) for r in contradict.claim_contradictions(df, slices, 1).collect()}
         # a and c only touch; d has another unit than a and c; f is expired; b stands for m too
         assert got == {("a", "b"): ("b", 20), ("b", "d"): ("b", 20), ("a", "k"): ("a", 10)}
     assert {tuple(r) for r in contradict.claim_classes(df).collect()} >= {("m", "b"), ("b", "b"), ("c", "c")}
