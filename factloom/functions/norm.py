@@ -58,6 +58,7 @@ def unit(text: Column) -> Column:
     return F.when(~plain.isin("", "none", "null"), F.coalesce(_lookup(UNITS, plain), plain))
 
 
+# Fixed value: how a claim value states a number, with marks of money and percent.
 _NUMERIC = r"^\$?\s*(-?[0-9]+(?:\.[0-9]+)?)\s*(?:%|usd)?$"
 
 
@@ -135,6 +136,7 @@ def slug(text: Column) -> Column:
 
 def infer_kind(name: Column) -> Column:
     """A kind guessed from a name's shape, first match of the ordered rules."""
+    # The shapes of names and the kind of each.
     t = F.trim(name)
     return (
         F.when(t.rlike(r"^(GET|POST|PUT|PATCH|DELETE)\s+/"), "endpoint")

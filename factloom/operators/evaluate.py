@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.scratch import Scratch
-
 
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole to six digits, null where the whole is 0."""
@@ -35,17 +32,6 @@ def wilson_lower(hits: Column, total: Column, z: float = 1.96) -> Column:
     return F.round((p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n), 6)
 
 
-def dense_number(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows numbered from 0 in the order of a unique ``key`` without one task for all: ranges are numbered by themselves and shifted by the sizes of those before."""
-    scratch = Scratch(rows.sparkSession, "number")
-    ranged = scratch.save(rows.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("part").count()
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per range
-    shifts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
-    own = F.row_number().over(W.partitionBy("part").orderBy(key)) - 1
-    return scratch.save(ranged.withColumn("own", own).join(F.broadcast(shifts), "part").withColumn(name, F.col("own") + F.col("shift")).drop("part", "own", "shift"), "numbered")
-
-
 #: A count drawn from the Poisson distribution of mean 1 is as many as of these shares the draw reaches.
 _POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406, 0.999917)
 

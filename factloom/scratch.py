@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_ROOTS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables that operators of this process have written; their results must have been read or written by then."""
+    while _ROOTS:
+        Scratch.delete(spark, _ROOTS.pop())
+
+
 class Scratch:
     """The intermediate tables of one run of one operator."""
 
@@ -37,6 +44,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._count = 0
+        _ROOTS.append(self.root)
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write ``df`` and return it read back: a new plan that begins at the files."""
@@ -53,14 +61,16 @@ class Scratch:
 
     def clear(self) -> None:
         """Remove all tables of this run, once nothing reads them any more."""
-        self._delete(self.root)
+        self.delete(self.spark, self.root)
 
     def drop(self, df: DataFrame | None) -> None:
         """Remove a table that no later plan reads."""
         path = getattr(df, "_factloom_path", None)
         if path:
-            self._delete(path)
+            self.delete(self.spark, path)
 
-    def _delete(self, path: str) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    @staticmethod
+    def delete(spark: SparkSession, path: str) -> None:
+        """Remove a folder of this session's file system, if it is there."""
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -51,6 +51,7 @@ def read_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def thread_text(title: Column, label: str, lead: Column, comments: Column) -> Column:
     """A thread as one text: title, labelled lead ('(empty)' if there is none), then every comment under its id, author and time."""
+    # The marks and stand-ins of a thread's text.
     mark = lambda c: F.concat(
         F.lit("\n["), F.coalesce(c["id"], F.lit("None")), F.lit("] "), F.coalesce(c["author"], F.lit("?")), F.lit(" at "), F.coalesce(c["created"], F.lit("?")), F.lit(":\n"), F.coalesce(c["body"], F.lit(""))
     )

@@ -75,6 +75,17 @@ def test_descendants(spark):
     assert got == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1), ("x", "y", 1)}
 
 
+def test_intermediate_tables_can_be_released(spark):
+    import os
+
+    from factloom import scratch
+
+    assert rows_of(hierarchy.hierarchy(spark.createDataFrame([("b", "a")], "id string, parent string")))
+    scratch.release(spark)
+    folder = scratch.shared_dir(spark).removeprefix("file://")
+    assert not [n for n in os.listdir(folder) if n.startswith("hierarchy-")]
+
+
 def test_hierarchy_deeper_than_any_round_count(spark):
     chain = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(1500)] + [(f"s{i}", "n0700") for i in range(300)]
     got = rows_of(hierarchy.hierarchy(spark.createDataFrame(chain, "id string, parent string"), together=2))
