@@ -80,10 +80,12 @@ def test_intermediate_tables_can_be_released(spark):
 
     from factloom import scratch
 
+    folder = scratch.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     assert rows_of(hierarchy.hierarchy(spark.createDataFrame([("b", "a")], "id string, parent string")))
+    assert set(os.listdir(folder)) - before
     scratch.release(spark)
-    folder = scratch.shared_dir(spark).removeprefix("file://")
-    assert not [n for n in os.listdir(folder) if n.startswith("hierarchy-")]
+    assert not set(os.listdir(folder)) - before
 
 
 def test_hierarchy_deeper_than_any_round_count(spark):
